@@ -37,14 +37,13 @@ def full_row_number(
     order axis into slices; each (key, slice) is numbered on its own and shifted by the number of
     rows of the key in the earlier slices. The slice totals are at most ``slices`` rows per key.
     """
-    borders = df.agg(
-        F.percentile_approx(F.col(order).cast("double"), [i / slices for i in range(1, slices)], F.lit(1000)).alias(
-            "_borders"
-        )
+    cuts = F.lit([i / slices for i in range(1, slices)])
+    borders = df.agg(F.percentile_approx(F.col(order).cast("double"), cuts, F.lit(1000)))
+    sliced = (
+        df.withColumn("_borders", borders.scalar())
+        .withColumn("_slice", F.size(F.filter("_borders", lambda b: b < F.col(order).cast("double"))))
+        .drop("_borders")
     )
-    sliced = df.join(F.broadcast(borders)).withColumn(
-        "_slice", F.size(F.filter("_borders", lambda b: b < F.col(order).cast("double")))
-    ).drop("_borders")
     totals = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
