@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm, word_bounded_at_first, words
-from .containment import phrase_pairs, postings, salted_join, words_containing
+from ..session import materialise
+from .containment import WordIndex, hot_keys, phrase_pairs, postings, skew_join, words_containing, words_within
 from .ranking import first_by, top_k
 
 
@@ -44,32 +45,28 @@ def expand_queries(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     return own.unionByName(added).distinct()
 
 
-def term_scores(terms: DataFrame, index: DataFrame, exact: int = 3, partial: int = 1, min_len: int = 1) -> DataFrame:
-    """(term, id, points): ``exact`` when the word itself is in the document, ``partial`` for every
-    other index word that contains the term or is contained in it. Evaluated once per distinct
-    term, against the distinct vocabulary, and summed per (term, id) before queries are joined.
-
-    ``min_len`` leaves one-sided matches of shorter terms out; 1 keeps all of them.
-    """
-    distinct_terms = terms.select("word").distinct()
-    vocabulary = index.select("word").distinct()
+def term_weights(terms: DataFrame, index: WordIndex, exact: int = 3, partial: int = 1, min_len: int = 1) -> DataFrame:
+    """(term, word, w) for distinct ``terms(word)`` against the distinct vocabulary: ``exact`` for the
+    word itself, ``partial`` for every other index word that contains the term or lies in it."""
+    vocabulary = index.vocabulary.select("word")
     longer = words_containing(
-        distinct_terms.filter(F.length("word") >= min_len).select(F.col("word").alias("needle")), vocabulary
+        terms.filter(F.length("word") >= min_len).select(F.col("word").alias("needle")), vocabulary
     ).select(F.col("needle").alias("term"), "word")
-    shorter = words_containing(
-        vocabulary.filter(F.length("word") >= min_len).select(F.col("word").alias("needle")), distinct_terms
-    ).select(F.col("word").alias("term"), F.col("needle").alias("word"))
-    # containment both ways means equality: those rows are the exact hits
+    shorter = words_within(terms.select(F.col("word").alias("term")), vocabulary.filter(F.length("word") >= min_len))
+    # containment in both directions is equality and leaves the partial rows
     partial_hits = longer.unionByName(shorter).filter("term <> word").withColumn("w", F.lit(partial))
-    exact_hits = distinct_terms.join(vocabulary, "word", "left_semi").select(
+    exact_hits = terms.join(vocabulary, "word", "left_semi").select(
         F.col("word").alias("term"), "word", F.lit(exact).alias("w")
     )
-    weights = partial_hits.unionByName(exact_hits)
-    return (
-        salted_join(index, weights, "word", F.col("id"))
-        .groupBy("term", "id")
-        .agg(F.sum("w").alias("points"))
-    )
+    return partial_hits.unionByName(exact_hits)
+
+
+def term_scores(terms: DataFrame, index: WordIndex, min_len: int = 1) -> DataFrame:
+    """(term, id, points) summed over the index words of each document. Evaluated once per distinct
+    term. ``min_len`` leaves one-sided matches of shorter strings out; 1 keeps all of them."""
+    distinct_terms = materialise(terms.select("word").distinct(), "terms")
+    weights = term_weights(distinct_terms, index, min_len=min_len)
+    return index.lookup(weights, "id").groupBy("term", "id").agg(F.sum("w").alias("points"))
 
 
 def keyword_search(
@@ -84,19 +81,23 @@ def keyword_search(
 ) -> DataFrame:
     """(qid, id, score, rank). ``corpus(id, name, text)``; ``boosted(id)`` lists rows that get
     ``item_boost`` when they already score. A name containing the whole query scores
-    ``phrase_boost`` even without any word hit."""
-    index = build_postings(corpus, 2)
+    ``phrase_boost`` even without any word hit.
+
+    Index words are weighted per query before the postings are read, so the postings are joined
+    once and the partial sums per (query, document) are combined before the shuffle."""
+    index = WordIndex.build(corpus.select("id", norm(F.col("text")).alias("text")), "id", "text", 2)
     if dictionary is None:
-        q = queries.select("qid", norm(F.col("text")).alias("text"))
-        expanded = postings(q, "qid", "text", 2)
+        expanded = postings(queries.select("qid", norm(F.col("text")).alias("text")), "qid", "text", 2)
     else:
         expanded = expand_queries(queries, dictionary)
-    per_term = term_scores(expanded, index, min_len=min_len)
-    by_word = (
-        salted_join(per_term.withColumnRenamed("term", "word"), expanded, "word", F.col("id"))
-        .groupBy("qid", "id")
-        .agg(F.sum("points").alias("points"))
+    expanded = materialise(expanded, "expanded")
+    weights = term_weights(materialise(expanded.select("word").distinct(), "terms"), index, min_len=min_len)
+    per_query = (
+        weights.join(expanded.withColumnRenamed("word", "term"), "term")
+        .groupBy("qid", "word")
+        .agg(F.sum("w").alias("w"))
     )
+    by_word = index.lookup(per_query, "id").groupBy("qid", "id").agg(F.sum("w").alias("points"))
     phrases = phrase_pairs(
         queries.select(F.col("qid").alias("nid"), norm(F.col("text")).alias("needle")),
         corpus.select(F.col("id").alias("tid"), norm(F.col("name")).alias("text")),
@@ -117,48 +118,58 @@ def bm25_statistics(corpus: DataFrame, tokens: Column | None = None) -> tuple[Da
     normalised text."""
     toks = words(norm(F.col("text"))) if tokens is None else tokens
     listed = corpus.select("id", F.filter(toks, lambda w: w != "").alias("w")).withColumn("dl", F.size("w"))
-    tf = listed.select("id", "dl", F.explode("w").alias("word")).groupBy("id", "dl", "word").agg(
-        F.count("*").alias("tf")
+    tf = materialise(
+        listed.select("id", "dl", F.explode("w").alias("word")).groupBy("id", "dl", "word").agg(F.count("*").alias("tf")),
+        "tf",
     )
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    df = materialise(tf.groupBy("word").agg(F.count("*").alias("df")), "df")
     totals = listed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return tf, df, totals
 
 
-def _bm25(terms: DataFrame, tf: DataFrame, df: DataFrame, totals: DataFrame, k1: float, b: float) -> DataFrame:
-    n = totals.select("n").scalar()
-    avgdl = totals.select("avgdl").scalar()
-    weighted = (
-        terms.select("word").distinct().join(df, "word")
-        .withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .select("word", "idf")
-    )
-    scored = salted_join(tf, weighted, "word", F.col("id")).select(
-        "word",
-        "id",
-        (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("s"),
+def _bm25(terms: DataFrame, tf: DataFrame, df: DataFrame, n: int, avgdl: float, k1: float, b: float, hot: list) -> DataFrame:
+    asked = terms.join(df, "word").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    share = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    return (
+        skew_join(tf, asked.select("word", "qid", "idf"), "word", F.col("id"), hot)
+        .groupBy("qid", "id")
+        .agg(F.sum(share).alias("score"))
     )
-    return salted_join(scored, terms, "word", F.col("id")).groupBy("qid", "id").agg(F.sum("s").alias("score"))
 
 
 def bm25_search(
     queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
-    """(qid, id, stage, score, rank). Queries without any hit are retried with every token of three
-    or more characters replaced by the vocabulary words at edit distance one or less."""
+    """(qid, id, stage, score, rank). A query without any hit is retried with its special characters
+    stripped, then with every token of three or more characters replaced by the vocabulary words
+    at edit distance one or less."""
     tf, df, totals = bm25_statistics(corpus)
-    cleaned = F.regexp_replace(norm(F.col("text")), r"[^\p{L}\p{N}\s.,;:!?'|&%*#$]", " ")
-    terms = (
-        queries.filter(F.length(F.trim("text")) >= 2)
-        .select("qid", F.explode(F.array_distinct(F.split(F.trim(cleaned), " "))).alias("word"))
-        .filter("word <> ''")
-    )
-    plain = _bm25(terms, tf, df, totals, k1, b).withColumn("stage", F.lit("plain"))
-    missed = terms.join(plain.select("qid").distinct(), "qid", "left_anti").filter(F.length("word") >= 3)
+    n, avgdl = totals.first()
+    hot = hot_keys(df, "word", "df")
+    asked = queries.filter(F.length(F.trim("text")) >= 2)
+
+    def terms_of(rows: DataFrame, text: Column) -> DataFrame:
+        return rows.select("qid", F.explode(F.array_distinct(F.split(norm(text), " "))).alias("word")).filter(
+            "word <> ''"
+        )
+
+    def scored(terms: DataFrame, stage: str) -> DataFrame:
+        hits = _bm25(terms, tf, df, n, avgdl, k1, b, hot).withColumn("stage", F.lit(stage))
+        return materialise(top_k(hits, ["qid"], [F.desc("score"), F.asc("id")], k), "bm25")
+
+    def unanswered(rows: DataFrame, hits: DataFrame) -> DataFrame:
+        return rows.join(hits.select("qid").distinct(), "qid", "left_anti")
+
+    found = scored(terms_of(asked, F.col("text")), "plain")
+    left = materialise(unanswered(asked, found), "left")
+    if left.isEmpty():
+        return found
+    stripped_text = F.regexp_replace("text", r"[^a-zA-Z0-9\s]", " ")
+    stripped = scored(terms_of(left, stripped_text), "stripped")
+    missed = terms_of(unanswered(left, stripped), F.col("text")).filter(F.length("word") >= 3)
     near = near_words(missed.select("word").distinct(), df.select("word"))
-    fuzzy_terms = missed.join(near, "word").select("qid", F.col("near").alias("word")).distinct()
-    fuzzy = _bm25(fuzzy_terms, tf, df, totals, k1, b).withColumn("stage", F.lit("fuzzy"))
-    return top_k(plain.unionByName(fuzzy), ["qid"], [F.desc("score"), F.asc("id")], k)
+    fuzzy = scored(missed.join(near, "word").select("qid", F.col("near").alias("word")).distinct(), "fuzzy")
+    return found.unionByName(stripped).unionByName(fuzzy)
 
 
 def deletion_keys(col: Column) -> Column:
@@ -179,7 +190,7 @@ def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
     itself or a one-character deletion, so the join is on those keys."""
     a = left.select("word", F.explode(deletion_keys(F.col("word"))).alias("key"))
     b = right.select(F.col("word").alias("near"), F.explode(deletion_keys(F.col("word"))).alias("key"))
-    pairs = salted_join(b, a, "key", F.col("near")).select("word", "near").distinct()
+    pairs = b.join(a, "key").select("word", "near").distinct()
     return pairs.withColumn("distance", F.levenshtein("word", "near", 1)).filter("distance >= 0")
 
 
@@ -196,25 +207,22 @@ def name_search(queries: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
         .withColumn("toks", words(F.col("q"), 2))
         .filter(F.size("toks") > 0)
     )
-    c = corpus.select(
-        "id", norm(F.col("name")).alias("name"), norm(F.array_join("keywords", " ")).alias("kw")
+    q = materialise(q, "queries")
+    c = materialise(
+        corpus.select("id", norm(F.col("name")).alias("name"), norm(F.array_join("keywords", " ")).alias("kw")), "names"
     )
     tokens = q.select("qid", F.explode(F.array_distinct("toks")).alias("token"))
+    needles = materialise(tokens.select(F.col("token").alias("needle")).distinct(), "tokens")
 
     def candidates(column: str, keys: int) -> DataFrame:
-        index = postings(c.select("id", column), "id", column)
-        hits = words_containing(
-            tokens.select(F.col("token").alias("needle")).distinct(), index.select("word").distinct()
-        )
-        per_token = hits.join(index.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("needle").agg(
-            F.sum("n").alias("n")
-        )
+        index = WordIndex.build(c.select("id", column), "id", column)
+        hits = materialise(words_containing(needles, index.vocabulary.select("word")), "hits")
+        per_token = hits.join(index.vocabulary, "word").groupBy("needle").agg(F.sum("n").alias("n"))
         rated = tokens.join(per_token.withColumnRenamed("needle", "token"), "token", "left").withColumn(
             "n", F.coalesce("n", F.lit(0))
         )
         chosen = top_k(rated, ["qid"], [F.asc("n"), F.asc("token")], keys).select("qid", F.col("token").alias("needle"))
-        by_word = chosen.join(hits, "needle").select("qid", "word").distinct()
-        return salted_join(index, by_word, "word", F.col("id")).select("qid", "id").distinct()
+        return index.lookup(chosen.join(hits, "needle").select("qid", "word").distinct(), "id").select("qid", "id").distinct()
 
     # tokens repeat in the count below exactly as often as in the query; two distinct keys suffice
     pairs = candidates("name", 2).unionByName(candidates("kw", 1)).distinct()

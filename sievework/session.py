@@ -1,8 +1,9 @@
-"""Session helpers: a local session for tests and benches, table loading, lineage cuts."""
+"""Session helpers: a local session for tests and benches, table loading, stage tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +31,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if spark not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[spark] = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    return _LOCAL_FOLDERS[spark]
 
-    A temporary folder is set only when neither the setting nor an earlier call names one, which
-    is the case in local tests; on a cluster the setting must point to shared storage.
-    """
+
+_LOCAL_FOLDERS: dict[SparkSession, str] = {}
+
+
+def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a stage to the shared checkpoint folder and read it back.
+
+    Later plans start from the table: the work is done once, a lost executor re-reads files
+    instead of recomputing, and the planner knows the true size when it considers a broadcast."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(spark).rstrip('/')}/sievework-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer input splits than cores one partition per core; larger scans, which
+    already have more splits than that, are returned untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
