@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import norm, word_bounded_at_first, words
 from ..session import materialise
 from .containment import WordIndex, hot_keys, phrase_pairs, postings, skew_join, words_containing, words_within
-from .ranking import first_by, top_k
+from .lookup import near_words
+from .ranking import top_k
 
 
 def build_postings(corpus: DataFrame, min_len: int = 2) -> DataFrame:
@@ -172,28 +173,6 @@ def bm25_search(
     return found.unionByName(stripped).unionByName(fuzzy)
 
 
-def deletion_keys(col: Column) -> Column:
-    """The string itself and all strings with one character removed."""
-    return F.array_distinct(
-        F.concat(
-            F.array(col),
-            F.transform(
-                F.sequence(F.lit(1), F.length(col)),
-                lambda i: F.concat(F.substring(col, F.lit(1), i - 1), F.substring(col, i + 1, F.length(col))),
-            ),
-        )
-    )
-
-
-def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(word, near, distance) with edit distance 0 or 1. Two strings that near share the string
-    itself or a one-character deletion, so the join is on those keys."""
-    a = left.select("word", F.explode(deletion_keys(F.col("word"))).alias("key"))
-    b = right.select(F.col("word").alias("near"), F.explode(deletion_keys(F.col("word"))).alias("key"))
-    pairs = b.join(a, "key").select("word", "near").distinct()
-    return pairs.withColumn("distance", F.levenshtein("word", "near", 1)).filter("distance >= 0")
-
-
 def name_search(queries: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     """(qid, id, score, rank) over ``corpus(id, name, keywords)`` with tiers for the whole query in
     the name, all tokens, all tokens but one, the query in the keywords, all tokens in the keywords.

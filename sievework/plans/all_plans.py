@@ -1,3 +1,3 @@
 """Importing this module fills the registry."""
 
-from . import search  # noqa: F401
+from . import lookup, search, vectors  # noqa: F401

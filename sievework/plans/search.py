@@ -20,6 +20,7 @@ QUERY_WORDS = (
     "qw AS (SELECT DISTINCT qid, word FROM (SELECT qid, unnest(string_split(q, ' ')) AS word FROM qn) "
     "WHERE length(word) >= 2)"
 )
+HOST = "regexp_extract(url, '//(m\\.|www\\.)?([^./]+)\\.', 2)"
 DICT = (
     "dict AS (SELECT DISTINCT term, synonym FROM (SELECT regexp_extract(url, '//(m\\.|www\\.)?([^./]+)\\.', 2) AS term, "
     "regexp_extract(html, '<a href=\"/([^\"]+)\">', 1) AS synonym FROM pages) WHERE term <> '' AND synonym <> '')"
@@ -151,7 +152,7 @@ def bm25_search(spark, sf):
 @query(
     "name_search",
     sql=f"WITH q0 AS (SELECT item_id AS qid, {norm_sql('text')} AS q FROM benchmark UNION ALL SELECT 1000000 + page_id, "
-    "regexp_extract(url, '//(m\\.|www\\.)?([^./]+)\\.', 2) FROM pages), "
+    f"{norm_sql(HOST)} FROM pages), "
     "qq AS (SELECT * FROM (SELECT qid, q, list_filter(string_split(q, ' '), lambda x: length(x) >= 2) AS toks FROM q0 "
     "WHERE length(q) >= 3) WHERE len(toks) > 0), "
     f"c AS (SELECT doc_id AS id, {norm_sql('text')} AS name, {norm_sql("source || ' ' || lang")} AS kw FROM documents), "
