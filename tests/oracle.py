@@ -67,8 +67,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     at = [cols.index(c) for c in order]
     b = sorted((tuple(canon(r[i]) for i in at) for r in theirs), key=repr)
     if a != b:
-        extra = [x for x in a if x not in set(b)][:2] if len(a) < 200000 else []
-        missing = [x for x in b if x not in set(a)][:2] if len(a) < 200000 else []
+        seen_a, seen_b = set(a), set(b)
+        extra = [x for x in a if x not in seen_b][:2]
+        missing = [x for x in b if x not in seen_a][:2]
         return f"differs: {len(a)} vs {len(b)} rows\n   mine {str(extra)[:700]}\n   sql  {str(missing)[:700]}", len(mine), took, sql_took
     return "ok", len(mine), took, sql_took
 
