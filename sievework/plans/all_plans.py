@@ -1,3 +1,3 @@
 """Importing this module fills the registry."""
 
-from . import consensus, lookup, search, vectors  # noqa: F401
+from . import consensus, intents, lookup, search, texts, vectors  # noqa: F401
