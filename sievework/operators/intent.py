@@ -190,7 +190,7 @@ def rerank_by_intent(
         F.col("phase"), F.col("urgency"), F.col("phase_confidence"), F.col("urgency_confidence"), F.col("_ip"), F.col("_iu")
     )
     scored = joined.withColumn("boost", F.when(F.col("phase") == "unknown", 1.0).otherwise(boost))
-    order = F.when(F.col("phase") == "unknown", 0.0).otherwise(F.col("score") * F.col("boost"))
+    order = F.when(F.col("phase") == "unknown", 0.0).otherwise(F.round(F.col("score") * F.col("boost"), 9))
     return top_k(scored.withColumn("_o", order), ["qid"], [F.desc("_o"), F.asc("_before")], k).select(
         "qid", "id", "score", "boost", "rank"
     )
