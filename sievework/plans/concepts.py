@@ -30,9 +30,9 @@ INDEX = (
     "kind = 'neg' THEN 1 ELSE 0 END) AS neg FROM kw JOIN corpus c ON contains(lower(c.name), keyword) GROUP BY ALL), "
     "r AS (SELECT concept_id, id, region, CASE WHEN neg = 1 THEN 0.05 ELSE least(1.0, hits / greatest(total, 3)) END AS r FROM h JOIN tot "
     "USING (concept_id)), "
-    "found AS (SELECT r.concept_id, id, region, round(least(1.0, r + 0.2), 2) AS relevance, 1 AS tier FROM r JOIN co USING (concept_id, "
+    "found AS (SELECT r.concept_id, id, region, round_even(least(1.0, r + 0.2) * 100, 0) / 100 AS relevance, 1 AS tier FROM r JOIN co USING (concept_id, "
     "region) WHERE r > 0.1), "
-    "sd AS (SELECT concept_id, id, region, round(coalesce(rel, 0.8), 2) AS relevance, 0 AS tier FROM seeds JOIN corpus USING (id)), "
+    "sd AS (SELECT concept_id, id, region, round_even(coalesce(rel, 0.8) * 100, 0) / 100 AS relevance, 0 AS tier FROM seeds JOIN corpus USING (id)), "
     "al AS (SELECT * FROM sd UNION ALL SELECT * FROM found WHERE (concept_id, id) NOT IN (SELECT concept_id, id FROM sd)), "
     "top AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY relevance DESC, tier, id) AS rank FROM al QUALIFY rank <= 50), "
     f"idx AS (SELECT concept_id, id, name, top.region, CAST(relevance AS DOUBLE) AS relevance, {phase_sql('lower(name)')} AS phase, "
