@@ -270,7 +270,7 @@ def name_components(spark, sf):
     "router",
     sql=f"WITH {BASE}, {COMP}, rg AS (SELECT lower('MRI ' || p_name || ' with IV contrast') AS k, arg_min(p_brand, p_partkey) AS e FROM part "
     "WHERE p_type = 'SMALL' AND p_size > 45 GROUP BY 1), f AS (SELECT item, list(name ORDER BY seq)[1:3] AS entries FROM cm JOIN ca ON "
-    "body_part IS NOT NULL AND (contains(ca.body_part, replace(cm.body_part, '_', ' ')) OR contains(replace(cm.body_part, '_', ' '), "
+    "cm.body_part IS NOT NULL AND (contains(ca.body_part, replace(cm.body_part, '_', ' ')) OR contains(replace(cm.body_part, '_', ' '), "
     "ca.body_part)) WHERE name NOT IN ('hot ring', 'old bolt') GROUP BY 1) SELECT cm.item, CASE WHEN k IS NOT NULL THEN 'exact' WHEN "
     "f.entries IS NOT NULL THEN 'component' ELSE 'unmapped' END AS match_type, contrast, body_part, CASE WHEN k IS NOT NULL THEN [e] ELSE "
     "f.entries END AS entries FROM cm LEFT JOIN rg ON lower(item) = k LEFT JOIN f ON f.item = cm.item",
