@@ -190,12 +190,11 @@ def nested_recommendations(scenarios: DataFrame, floor: int = 7, modality: str =
 
 def flatten_sections(entries: DataFrame, key: str, sections: list[str]) -> DataFrame:
     """(key, section, pos, text) of array columns; empty sections have no rows."""
-    packed = F.concat(
-        *[
-            F.transform(F.coalesce(F.col(s), F.array().cast("array<string>")), lambda t, i, s=s: F.struct(F.lit(s).alias("section"), i.alias("pos"), t.alias("text")))
-            for s in sections
-        ]
-    )
+    def rows_of(section: str) -> Column:
+        texts = F.coalesce(F.col(section), F.array().cast("array<string>"))
+        return F.transform(texts, lambda t, i: F.struct(F.lit(section).alias("section"), i.alias("pos"), t.alias("text")))
+
+    packed = F.concat(*[rows_of(s) for s in sections])
     return entries.select(key, F.explode(packed).alias("x")).select(key, "x.*")
 
 

@@ -1,3 +1,3 @@
 """Importing this module fills the registry."""
 
-from . import catalogue, concepts, consensus, intents, lookup, routing, search, texts, vectors  # noqa: F401
+from . import cascades, catalogue, concepts, consensus, intents, lookup, routing, search, texts, vectors  # noqa: F401

@@ -117,7 +117,7 @@ def expanded_templates(spark, sf):
     "orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_discount > 0.09 AND l_quantity > 48 GROUP BY ALL), "
     "ls AS (SELECT entry, id, CAST(relevance AS DOUBLE) AS score, 1 AS tier, id AS o FROM mt QUALIFY row_number() OVER (PARTITION BY entry ORDER BY id) "
     "<= 5), sh AS (SELECT name AS entry FROM ca LEFT JOIN ls ON name = entry GROUP BY 1 HAVING count(ls.id) < 3), "
-    "h AS (SELECT name AS entry, scenario_id AS id, count(DISTINCT rid) AS n FROM rq JOIN ca ON ca.region = rq.region AND contains(item, name) GROUP BY "
+    "h AS (SELECT name AS entry, scenario_id AS id, count(DISTINCT rid) AS n FROM rq JOIN ca ON ca.region = rq.region AND name = split_part(item, ' ', 2) || ' ' || split_part(item, ' ', 3) GROUP BY "
     "ALL), ex AS (SELECT entry, id, n * 10.0 AS score, 2 AS tier, id AS o FROM h WHERE entry IN (SELECT entry FROM sh) AND (entry, id) NOT IN (SELECT "
     "entry, id FROM ls)) SELECT entry, id, CAST(score AS DOUBLE) AS score, tier, CAST(row_number() OVER (PARTITION BY entry ORDER BY tier, o) AS INTEGER) "
     "AS rank FROM (SELECT * FROM ls UNION ALL SELECT * FROM ex) QUALIFY rank <= 5",
