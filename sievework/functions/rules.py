@@ -26,10 +26,14 @@ def matches(col: Column, pattern: str) -> Column:
     return col.rlike(ascii_borders(pattern))
 
 
-def has_word(col: Column, phrase: str) -> Column:
-    """Phrase between ASCII word borders, taken literally."""
+def word_pattern(phrase: str) -> str:
+    """Pattern of a literal phrase between ASCII word borders."""
     quoted = "".join("\\" + c if c in r".*+?^${}()|[]\/-" else c for c in phrase)
-    return col.rlike(f"{BORDER}{quoted}{BORDER}")
+    return f"{BORDER}{quoted}{BORDER}"
+
+
+def has_word(col: Column, phrase: str) -> Column:
+    return col.rlike(word_pattern(phrase))
 
 
 @dataclass(frozen=True)

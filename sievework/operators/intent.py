@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packs
-from ..functions.rules import has_word, matches, pattern_count
+from ..functions.rules import matches, pattern_count, word_pattern
 from ..functions.text import contains_any
 from .ranking import top_k
 
@@ -50,11 +50,15 @@ def condition_urgency(
     """struct(condition, urgency, confidence) of the first word-bounded condition; null without one.
     A follow-up wording turns it into routine."""
     q = F.lower(text)
-    found = F.when(F.lit(False), F.lit(None).cast("struct<condition:string,urgency:string>"))
-    for name, urgency in conditions:
-        found = found.when(
-            has_word(q, name), F.struct(F.lit(name).alias("condition"), F.lit(urgency).alias("urgency"))
-        )
+    table = F.array(
+        *[
+            F.struct(F.lit(n).alias("condition"), F.lit(u).alias("urgency"), F.lit(word_pattern(n)).alias("p"))
+            for n, u in conditions
+        ]
+    )
+    # the plain substring test runs first, so a pattern is only tried on texts that hold the words
+    hits = F.filter(table, lambda c: F.contains(q, c["condition"]) & F.regexp_like(q, c["p"]))
+    found = F.try_element_at(hits, F.lit(1))
     late = matches(q, followed)
     return F.when(
         found.isNotNull(),

@@ -28,6 +28,29 @@ def last_by(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -
     return picked.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in dict.fromkeys([*order, *keep])])
 
 
+def _sliced(df: DataFrame, order: str, slices: int) -> DataFrame:
+    """Adds ``_slice``: which of ``slices`` quantile ranges of ``order`` a row falls into."""
+    cuts = F.lit([i / slices for i in range(1, slices)])
+    borders = df.agg(F.percentile_approx(F.col(order).cast("double"), cuts, F.lit(1000)))
+    return (
+        df.withColumn("_borders", borders.scalar())
+        .withColumn("_slice", F.size(F.filter("_borders", lambda b: b < F.col(order).cast("double"))))
+        .drop("_borders")
+    )
+
+
+def next_value(df: DataFrame, keys: list[str], order: str, out: str, slices: int = 64) -> DataFrame:
+    """Adds the next larger-or-equal ``order`` value of the same key, null for the last row. Rows look
+    inside their (key, slice) first; the last one of a slice takes the start of the key's next slice."""
+    sliced = _sliced(df, order, slices)
+    starts = sliced.groupBy(*keys, "_slice").agg(F.min(order).alias("_start"))
+    later = F.lead("_start").over(Window.partitionBy(*keys).orderBy("_slice"))
+    follow = starts.select(*keys, "_slice", later.alias("_later"))
+    local = F.lead(order).over(Window.partitionBy(*keys, "_slice").orderBy(order))
+    joined = sliced.withColumn("_local", local).join(follow, [*keys, "_slice"])
+    return joined.withColumn(out, F.coalesce("_local", "_later")).drop("_slice", "_local", "_later")
+
+
 def full_row_number(
     df: DataFrame, keys: list[str], order: str, out: str = "rank", slices: int = 64
 ) -> DataFrame:
@@ -37,13 +60,7 @@ def full_row_number(
     order axis into slices; each (key, slice) is numbered on its own and shifted by the number of
     rows of the key in the earlier slices. The slice totals are at most ``slices`` rows per key.
     """
-    cuts = F.lit([i / slices for i in range(1, slices)])
-    borders = df.agg(F.percentile_approx(F.col(order).cast("double"), cuts, F.lit(1000)))
-    sliced = (
-        df.withColumn("_borders", borders.scalar())
-        .withColumn("_slice", F.size(F.filter("_borders", lambda b: b < F.col(order).cast("double"))))
-        .drop("_borders")
-    )
+    sliced = _sliced(df, order, slices)
     totals = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -1,3 +1,15 @@
 """Importing this module fills the registry."""
 
-from . import cascades, catalogue, concepts, consensus, intents, lookup, routing, search, texts, vectors  # noqa: F401
+from . import (  # noqa: F401
+    cascades,
+    catalogue,
+    concepts,
+    consensus,
+    interactions,
+    intents,
+    lookup,
+    routing,
+    search,
+    texts,
+    vectors,
+)

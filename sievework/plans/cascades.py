@@ -51,9 +51,9 @@ def matched_cards(spark, sf):
     sql=f"WITH {CARDS}, al AS (SELECT DISTINCT substr(topic, 1, 4) AS alias, display AS topic FROM cards WHERE length(topic) = 9 UNION SELECT DISTINCT "
     "substr(topic, 1, 4), topic FROM cards WHERE length(topic) = 11), "
     f"qq AS (SELECT 100000000 + page_id AS qid, lower({HOST}) AS q FROM pages WHERE length({HOST}) >= 2), "
-    "at AS (SELECT DISTINCT qid, al.topic FROM qq JOIN al ON contains(alias, q) OR contains(q, alias)), "
+    "atx AS (SELECT DISTINCT qid, al.topic FROM qq JOIN al ON contains(alias, q) OR contains(q, alias)), "
     "b AS (SELECT qid, seq, topic, scenario_count, CASE WHEN topic = q OR display = q THEN 100 WHEN starts_with(topic, q) OR starts_with(display, q) THEN 80 "
-    "WHEN contains(topic, q) OR contains(display, q) THEN 60 WHEN contains(q, topic) THEN 50 WHEN (qid, topic) IN (SELECT qid, topic FROM at) THEN 70 ELSE "
+    "WHEN contains(topic, q) OR contains(display, q) THEN 60 WHEN contains(q, topic) THEN 50 WHEN (qid, topic) IN (SELECT qid, topic FROM atx) THEN 70 ELSE "
     "(SELECT CASE WHEN n > 0 THEN 30 + 10 * n ELSE 0 END FROM (SELECT len(list_filter(regexp_split_to_array(q, '\\s+'), lambda x: contains(topic, x) OR "
     "contains(x, topic))) AS n)) END AS base FROM qq, cards) "
     "SELECT qid, topic, round(base + least(scenario_count / 100, 5), 4) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY base + "
