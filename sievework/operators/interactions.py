@@ -9,9 +9,14 @@ from ..session import materialise
 from .ranking import last_by, next_value, top_k
 
 
+def micros(ts: str):
+    """Microseconds of a timestamp with or without time zone."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def debounce(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:
     """Last event of every burst: kept when no event of the key follows within the gap."""
-    timed = events.withColumn("_us", F.unix_micros(ts))
+    timed = events.withColumn("_us", micros(ts))
     ahead = next_value(timed, [key], "_us", "_next")
     return ahead.filter(F.col("_next").isNull() | (F.col("_next") - F.col("_us") >= int(gap_seconds * 1_000_000))).drop(
         "_us", "_next"
@@ -19,14 +24,14 @@ def debounce(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFr
 
 
 def ttl_misses(events: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
-    """Distinct (key, ts) of the requests a cache would miss; expiry counts from the stored miss.
+    """Distinct (k, t), t in microseconds, of the requests a cache would miss; expiry counts from the stored miss.
 
     Every request points to the first one of its key at least the expiry later. Misses are what the
     first request reaches along these pointers; doubling the pointers finds them in log(chain) joins
     on (key, ts), so a busy key is never walked in one task. The pointer search looks at one expiry
     span of a key at a time."""
     ttl = ttl_seconds * 1_000_000
-    points = materialise(events.select(F.col(key).alias("k"), F.unix_micros(ts).alias("t")).distinct(), "points")
+    points = materialise(events.select(F.col(key).alias("k"), micros(ts).alias("t")).distinct(), "points")
     spans = points.withColumn("b", F.floor(F.col("t") / ttl)).groupBy("k", "b").agg(F.min("t").alias("start"))
     after = F.lead("start").over(Window.partitionBy("k").orderBy("b"))
     next_span = spans.select("k", "b", after.alias("later"), F.lead("b").over(Window.partitionBy("k").orderBy("b")).alias("later_b"))
@@ -59,13 +64,15 @@ def ttl_misses(events: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFr
         reached = materialise(reached.unionByName(step).distinct(), "reached")
         hop = jump.select("k", F.col("t").alias("to"), F.col("to").alias("to2"))
         jump = materialise(jump.join(hop, ["k", "to"]).select("k", "t", F.col("to2").alias("to")), "jumps")
-    return reached.select(F.col("k").alias(key), F.timestamp_micros("t").alias(ts))
+    return reached
 
 
 def ttl_dedup(events: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
     """Adds ``hit``: whether a request is answered by the stored result of an earlier one."""
-    misses = ttl_misses(events, key, ts, ttl_seconds).withColumn("_miss", F.lit(True))
-    return events.join(misses, [key, ts], "left").withColumn("hit", F.col("_miss").isNull()).drop("_miss")
+    misses = ttl_misses(events, key, ts, ttl_seconds)
+    timed = events.withColumn("_us", micros(ts))
+    joined = timed.join(misses, (timed[key] == misses.k) & (timed["_us"] == misses.t), "left")
+    return joined.select(*[timed[c] for c in events.columns], misses.t.isNull().alias("hit"))
 
 
 def recent_distinct(events: DataFrame, key: str, text: str, ts: str, n: int = 10) -> DataFrame:

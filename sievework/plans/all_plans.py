@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     lookup,
     routing,
     search,
+    sources,
     texts,
     vectors,
 )

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -52,7 +52,7 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     Later plans start from the table: the work is done once, a lost executor re-reads files
     instead of recomputing, and the planner knows the true size when it considers a broadcast."""
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/sievework-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/sievework-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
