@@ -84,21 +84,18 @@ def keyword_search(
     ``item_boost`` when they already score. A name containing the whole query scores
     ``phrase_boost`` even without any word hit.
 
-    Index words are weighted per query before the postings are read, so the postings are joined
-    once and the partial sums per (query, document) are combined before the shuffle."""
+    Points are summed per distinct (term, document) first, so a term shared by many queries is
+    worked out once; partial sums per (query, document) are combined before the last shuffle."""
     index = WordIndex.build(corpus.select("id", norm(F.col("text")).alias("text")), "id", "text", 2)
     if dictionary is None:
         expanded = postings(queries.select("qid", norm(F.col("text")).alias("text")), "qid", "text", 2)
     else:
         expanded = expand_queries(queries, dictionary)
     expanded = materialise(expanded, "expanded")
-    weights = term_weights(materialise(expanded.select("word").distinct(), "terms"), index, min_len=min_len)
-    per_query = (
-        weights.join(expanded.withColumnRenamed("word", "term"), "term")
-        .groupBy("qid", "word")
-        .agg(F.sum("w").alias("w"))
-    )
-    by_word = index.lookup(per_query, "id").groupBy("qid", "id").agg(F.sum("w").alias("points"))
+    per_term = term_scores(expanded, index, min_len=min_len).withColumnRenamed("term", "word")
+    # a short term scores in most documents: its rows are spread by document, and the query side,
+    # which has one row per (query, term), is sent to them
+    by_word = per_term.join(expanded, "word").groupBy("qid", "id").agg(F.sum("points").alias("points"))
     phrases = phrase_pairs(
         queries.select(F.col("qid").alias("nid"), norm(F.col("text")).alias("needle")),
         corpus.select(F.col("id").alias("tid"), norm(F.col("name")).alias("text")),
@@ -177,8 +174,9 @@ def name_search(queries: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     """(qid, id, score, rank) over ``corpus(id, name, keywords)`` with tiers for the whole query in
     the name, all tokens, all tokens but one, the query in the keywords, all tokens in the keywords.
 
-    A name that misses at most one token holds at least one of any two, so candidates come from the
-    two tokens that occur in the fewest names; for keywords the rarest token is enough.
+    A name that misses at most one token holds at least one of any two, so candidates come from the two
+    rarest of the query's longest tokens; for keywords the rarest one is enough. Whether the other
+    tokens occur is then read from the whole name.
     """
     q = (
         queries.select("qid", norm(F.col("text")).alias("q"))
@@ -190,8 +188,15 @@ def name_search(queries: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     c = materialise(
         corpus.select("id", norm(F.col("name")).alias("name"), norm(F.array_join("keywords", " ")).alias("kw")), "names"
     )
-    tokens = q.select("qid", F.explode(F.array_distinct("toks")).alias("token"))
-    needles = materialise(tokens.select(F.col("token").alias("needle")).distinct(), "tokens")
+    # long tokens are rare ones: only the four longest of a query are looked up as keys
+    tokens = materialise(
+        top_k(
+            q.select("qid", F.explode(F.array_distinct("toks")).alias("token")).withColumn("_l", F.length("token")),
+            ["qid"], [F.desc("_l"), F.asc("token")], 4,
+        ).select("qid", "token"),
+        "tokens",
+    )
+    needles = materialise(tokens.select(F.col("token").alias("needle")).distinct(), "needles")
 
     def candidates(column: str, keys: int) -> DataFrame:
         index = WordIndex.build(c.select("id", column), "id", column)
