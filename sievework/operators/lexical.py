@@ -84,18 +84,21 @@ def keyword_search(
     ``item_boost`` when they already score. A name containing the whole query scores
     ``phrase_boost`` even without any word hit.
 
-    Points are summed per distinct (term, document) first, so a term shared by many queries is
-    worked out once; partial sums per (query, document) are combined before the last shuffle."""
+    The vocabulary is searched once per distinct term; from there on terms are numbers, and the
+    points of a (query, document) pair are partly summed before the only wide shuffle."""
     index = WordIndex.build(corpus.select("id", norm(F.col("text")).alias("text")), "id", "text", 2)
     if dictionary is None:
         expanded = postings(queries.select("qid", norm(F.col("text")).alias("text")), "qid", "text", 2)
     else:
         expanded = expand_queries(queries, dictionary)
     expanded = materialise(expanded, "expanded")
-    per_term = term_scores(expanded, index, min_len=min_len).withColumnRenamed("term", "word")
-    # a short term scores in most documents: its rows are spread by document, and the query side,
-    # which has one row per (query, term), is sent to them
-    by_word = per_term.join(expanded, "word").groupBy("qid", "id").agg(F.sum("points").alias("points"))
+    terms = materialise(expanded.select("word").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms")
+    asked = materialise(expanded.join(terms, "word").select("qid", "tid"), "asked")
+    weights = term_weights(terms.select("word"), index, min_len=min_len)
+    numbered = weights.join(terms.withColumnRenamed("word", "term"), "term").select("tid", "word", "w")
+    by_word = (
+        index.lookup(numbered, "id").select("id", "tid", "w").join(asked, "tid").groupBy("qid", "id").agg(F.sum("w").alias("points"))
+    )
     phrases = phrase_pairs(
         queries.select(F.col("qid").alias("nid"), norm(F.col("text")).alias("needle")),
         corpus.select(F.col("id").alias("tid"), norm(F.col("name")).alias("text")),
