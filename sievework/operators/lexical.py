@@ -187,7 +187,9 @@ def name_search(queries: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
         .withColumn("toks", words(F.col("q"), 2))
         .filter(F.size("toks") > 0)
     )
-    q = materialise(q, "queries")
+    # the same text is often asked again: every distinct text is searched once
+    asked = materialise(q.select("qid", "q"), "asked")
+    q = materialise(q.select("q", "toks").distinct().withColumn("qid", F.col("q")), "queries")
     c = materialise(
         corpus.select("id", norm(F.col("name")).alias("name"), norm(F.array_join("keywords", " ")).alias("kw")), "names"
     )
@@ -240,9 +242,7 @@ def name_search(queries: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
             "score", F.col("_s") - F.least(F.lit(15), F.floor(F.col("name_length") / 20).cast("int"))
         )
     )
-    return top_k(
-        scored.select("qid", "id", "score", "name_length"),
-        ["qid"],
-        [F.desc("score"), F.asc("name_length"), F.asc("id")],
-        k,
-    ).select("qid", "id", "score", "rank")
+    best = top_k(
+        scored.select("q", "id", "score", "name_length"), ["q"], [F.desc("score"), F.asc("name_length"), F.asc("id")], k
+    )
+    return asked.join(best, "q").select("qid", "id", "score", "rank")

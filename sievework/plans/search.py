@@ -172,7 +172,7 @@ def name_search(spark, sf):
     hosts = table(spark, sf, "pages").select(
         (F.col("page_id") + 1000000).alias("qid"), F.regexp_extract("url", r"//(m\.|www\.)?([^./]+)\.", 2).alias("text")
     )
-    corpus = table(spark, sf, "documents").select(
+    corpus = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"), F.col("text").alias("name"), F.array("source", "lang").alias("keywords")
     )
     return lexical.name_search(benchmark(spark, sf).unionByName(hosts), corpus, k=8)
