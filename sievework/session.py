@@ -19,6 +19,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -32,29 +33,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode without one."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a folder in the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    if spark not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[spark] = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-    return _LOCAL_FOLDERS[spark]
-
-
-_LOCAL_FOLDERS: dict[SparkSession, str] = {}
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write a stage to the shared checkpoint folder and read it back.
+    """Write a stage to the shared folder and read it back.
 
     Later plans start from the table: the work is done once, a lost executor re-reads files
     instead of recomputing, and the planner knows the true size when it considers a broadcast."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/sievework-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stage = spark.read.schema(df.schema).parquet(path)
+    stage.stage_path = path
+    return stage
+
+
+def release(*stages: DataFrame) -> None:
+    """Delete stages that no later plan reads: those whose successors are written already."""
+    for stage in stages:
+        path = stage.sparkSession._jvm.org.apache.hadoop.fs.Path(stage.stage_path)
+        path.getFileSystem(stage.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
