@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import pieces
+from sievework.llm import exact, lines, pieces
 from sievework.plans.registry import query
 from sievework.session import table
 
@@ -25,3 +25,40 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+BLANKS_SQL = r"[\x20\x09-\x0D]"
+
+OP6_SQL = f"""
+WITH l AS (
+  SELECT doc_id, pos, ls[pos] AS line FROM (
+    SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{lines.UPPER}', '{lines.LOWER}') AS key FROM l),
+common AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, common.key IS NOT NULL AS gone FROM k LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query("op6_line_dedup", OP6_SQL)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.without_lines(docs, lines.dropped_bitmaps(docs, min_docs=10, min_chars=1), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP7_SQL = f"""
+WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{BLANKS_SQL}+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)
+"""
+
+
+@query("op7_exact_dedup", OP7_SQL)
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
