@@ -15,46 +15,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm import bits
 from sievework.session import materialise
 
 BLANKS = r"[\x20\x09-\x0D]+"
 CELLS_PER_ROW = 64
-#: Rows of 64 bits that the broadcast filter has at most: 16 MB of ids and bits.
-FILTER_WORDS = 1 << 20
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
 
 
-def _places(digest: Column, cells: int, words: int) -> tuple[Column, Column]:
-    """Word and bit of a digest's cell; beyond the bound of the filter, cells share words."""
-    cell = F.xxhash64(digest).bitwiseAND(F.lit(cells - 1))
-    return F.shiftright(cell, 6).bitwiseAND(F.lit(words - 1)), cell.bitwiseAND(F.lit(63)).cast("int")
-
-
-def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", filter_words: int = FILTER_WORDS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", filter_words: int = bits.FILTER_WORDS) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, digest``.
 
     Texts are equal if they are identical once every run of white space is one blank; the smallest id stays."""
     rows = materialise(
         docs.select(F.col(id_column).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_column)), 256)).alias("digest")), "digests"
     )
-    cells = 1 << max(12, (CELLS_PER_ROW * rows.count() - 1).bit_length())
-    words = min(filter_words, cells >> 6)
-    word, bit = _places(F.col("digest"), cells, words)
-    repeated = (
-        rows.select(F.xxhash64("digest").bitwiseAND(F.lit(cells - 1)).alias("cell"))
-        .groupBy("cell")
-        .count()
-        .filter("count > 1")
-        .select(F.shiftright("cell", 6).bitwiseAND(F.lit(words - 1)).alias("word"), F.col("cell").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    )
-    # At most FILTER_WORDS rows of two numbers, whatever the input.
-    tested = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(repeated), "word", "left")
-    tested = tested.select("doc_id", "digest", F.coalesce(F.getbit("bits", F.col("bit")) == 1, F.lit(False)).alias("maybe"))
+    cells = bits.cells_for(rows.count(), CELLS_PER_ROW)
+    words = bits.filter_words(cells, filter_words)
+    repeated = rows.select(bits.cell(F.col("digest"), cells).alias("cell")).groupBy("cell").count().filter("count > 1")
+    tested = bits.tested(rows, F.col("digest"), cells, bits.bit_filter(repeated, words), words)
     unique = tested.filter(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact, lines, pieces
+from sievework.llm import exact, lines, minhash, pieces
 from sievework.plans.registry import query
 from sievework.session import table
 
@@ -62,3 +62,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+OP9_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+x AS (SELECT doc_id, hash(unnest(sh)) AS h FROM s),
+often AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+y AS (SELECT x.* FROM x JOIN often USING (h)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM y a JOIN y b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * same >= 85 * (na.n + nb.n - same)),
+both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
+
+@query("op9_minhash", OP9_SQL)
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
