@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact, lines, minhash, pieces
-from sievework.plans.registry import query
+from sievework.llm import exact, licences, lines, minhash, mixing, pieces, token_counts
+from sievework.plans.registry import literal, query
 from sievework.session import table
 
 
@@ -88,3 +88,86 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+WEIGHTS = (3, 1, 2)
+SHARE, MOST, SEED = 1.5, 2, 17
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    ('0x' || substr(md5('{SEED}:' || doc_id::VARCHAR), 1, 15))::BIGINT AS place FROM documents),
+t AS (
+  SELECT source, sum(size)::BIGINT AS words,
+    [3, 1, 2][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS w FROM d GROUP BY source),
+r AS (
+  SELECT *, row_number() OVER (ORDER BY words / w, source NULLS LAST) AS i, sum(words) OVER () AS total FROM t),
+lv AS (
+  SELECT *, total * {SHARE} - {MOST} * coalesce(sum(words) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+    sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight
+  FROM r),
+firsts AS (SELECT min(i) AS i FROM lv WHERE NOT (remaining * w / weight > {MOST} * words)),
+g AS (
+  SELECT lv.source, lv.words, CASE WHEN f.i IS NULL OR lv.i < f.i THEN ({MOST} * lv.words)::DOUBLE
+    ELSE (nx.remaining * lv.w / nx.weight)::DOUBLE END AS target
+  FROM lv CROSS JOIN firsts f LEFT JOIN lv nx ON nx.i = f.i),
+k AS (
+  SELECT *, CASE WHEN words = 0 THEN 0 ELSE floor(target / words) END AS passes FROM g),
+o AS (
+  SELECT d.*, k.words, k.target, k.passes, k.target - k.passes * k.words AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS up_to
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+e AS (
+  SELECT *, rest > 0 AND (up_to < rest OR (up_to - size < rest AND abs(up_to - rest) < abs(up_to - size - rest))) AS more FROM o)
+SELECT doc_id, size, words AS source_size, target, (size * (passes + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken FROM e
+"""
+
+
+@query("op5_mixing", OP5_SQL)
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    draws, sources = mixing.mix(sizes, WEIGHTS, SHARE, MOST, SEED)
+    taken = draws.groupBy("doc_id").agg(F.sum("size").alias("taken"))
+    named = sources.withColumnRenamed("source", "named")
+    return (
+        sizes.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("named")))
+        .join(taken, "doc_id", "left")
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    )
+
+
+def _licence_sql() -> str:
+    names = ", ".join(f"({literal(words)}, {literal(name)})" for name, words in licences.SENTENCES)
+    rules = ", ".join(f"CASE WHEN regexp_matches(line, {literal(licences.rule_pattern(ids))}) THEN {literal(name)} END" for name, ids in licences.RULES)
+    return f"""
+WITH names(words, name) AS (VALUES {names}),
+s AS (
+  SELECT doc_id, i, trim(regexp_replace(ss[i], '[^a-z0-9]+', ' ', 'g')) AS words FROM (
+    SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (
+      SELECT doc_id, string_split_regex(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '{licences.SENTENCE_END}') AS ss FROM documents))),
+f AS (SELECT doc_id, list(name ORDER BY i) AS ids FROM s JOIN names USING (words) GROUP BY doc_id),
+l AS (SELECT *, ' ' || array_to_string(ids, '  ') || ' ' AS line FROM f),
+h AS (SELECT doc_id, ids, list_filter([{rules}], lambda x: x IS NOT NULL) AS found FROM l),
+u AS (SELECT doc_id, ids, list_filter(found, lambda x, i: list_position(found, x) = i) AS held FROM h)
+SELECT d.doc_id, coalesce(array_to_string(u.ids, ' '), '') AS sentence_ids, coalesce(array_to_string(u.held, ' '), '') AS licences
+FROM documents d LEFT JOIN u USING (doc_id)
+"""
+
+
+@query("op8_licences", _licence_sql())
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licences(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licences", " ").alias("licences"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document: the document is encoded whole, crossing tokens go by most of their bytes."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("sections", token_counts.lines(F.col("text")))
+    counts = token_counts.token_counts(F.col("text"), F.col("sections"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = docs.select("doc_id", "sections", counts.alias("counts"))
+    return both.select("doc_id", F.posexplode(F.arrays_zip("sections", "counts")).alias("section", "s")).select(
+        "doc_id", "section", (F.col("s.sections.end") - F.col("s.sections.start")).alias("n_chars"), F.col("s.counts").alias("n_tokens")
+    )
