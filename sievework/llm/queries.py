@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact, licences, lines, minhash, mixing, pieces, token_counts
+from sievework.llm import exact, licences, lines, minhash, mixing, pieces, quality, token_counts
 from sievework.plans.registry import literal, query
 from sievework.session import table
 
@@ -171,3 +171,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.posexplode(F.arrays_zip("sections", "counts")).alias("section", "s")).select(
         "doc_id", "section", (F.col("s.sections.end") - F.col("s.sections.start")).alias("n_chars"), F.col("s.counts").alias("n_tokens")
     )
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.outliers(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
