@@ -160,7 +160,7 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, rows: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, rows: int = 6) -> DataFrame:
     """One row per document: ``id, node, n_shingles, component_id, kept``.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; ``node`` names the class of

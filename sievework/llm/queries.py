@@ -86,7 +86,7 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 
 @query("op9_minhash", OP9_SQL)
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, rows=7)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
