@@ -101,7 +101,7 @@ def expand_templates(template_steps: DataFrame, library: DataFrame) -> DataFrame
     duplicates of (type, plane) dropped, renumbered from zero."""
     known = template_steps.join(library, "type_id").withColumn("step_id", F.concat_ws("_", "type_id", "plane"))
     one = first_by(known, ["template", "step_id"], ["pos"], ["name", "plane", "seconds", "is_post"])
-    numbered = full_row_number(one, ["template"], "pos", "_n")
+    numbered = full_row_number(one, ["template"], ["pos", "step_id"], "_n")
     return numbered.select(
         "template", (F.col("_n") - 1).alias("sort_order"), "step_id", F.concat_ws(" ", "plane", "name").alias("name"), "seconds", "is_post"
     )
@@ -208,7 +208,7 @@ def first_marker(steps: DataFrame) -> DataFrame:
 
 def renumber(rows: DataFrame, key: str, pos: str, out: str = "sort_order") -> DataFrame:
     """Dense positions from zero after inserts, removals and moves."""
-    return full_row_number(rows, [key], pos, out).withColumn(out, F.col(out) - 1)
+    return full_row_number(rows, [key], [pos], out).withColumn(out, F.col(out) - 1)
 
 
 def export_envelope(rows: DataFrame, version: str, source: str, exported_at: Column, columns: list[str]) -> DataFrame:
@@ -308,7 +308,7 @@ def unique_slugs(rows: DataFrame, seq: str = "seq", base: str = "base", disc: st
 
     r = rows.select(F.col(seq).alias("seq"), F.col(base).alias("base"), F.col(disc).alias("disc"))
     heads = r.groupBy("base").agg(F.min("seq").alias("_head"))
-    led = full_row_number(r, ["base", "disc"], "seq", "_n").join(heads, "base")
+    led = full_row_number(r, ["base", "disc"], ["seq"], "_n").join(heads, "base")
     group_leads = led.groupBy("base", "disc").agg(F.max((F.col("seq") == F.col("_head")).cast("int")).alias("_leads"))
     state = materialise(
         led.join(group_leads, ["base", "disc"]).select(

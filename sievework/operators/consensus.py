@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packs
-from ..functions.text import contains_any, word_title
+from ..functions.text import contains_any, title_case
 from .ranking import first_by, full_row_number, top_k
 
 HIGH, MIDDLE = 7, 5
@@ -140,7 +140,7 @@ def consensus_cards(
         .withColumn("card_type", kind)
         .select(
             "topic",
-            word_title(F.translate("topic", "_", " ")).alias("display_name"),
+            title_case(F.translate("topic", "_", " ")).alias("display_name"),
             "card_type",
             total.alias("scenario_count"),
             "region",
@@ -194,8 +194,8 @@ def best_item(items: DataFrame, table: list = packs.MODALITY_PREFERENCE) -> Data
 
 def ordered_items(items: DataFrame, priority: Column) -> DataFrame:
     """Full order of every scenario's items by rating, context priority (0 to 100) and position."""
-    key = ((F.lit(10) - F.col("rating")) * 1000 + (F.lit(100) - priority)).cast("long") * F.lit(1 << 40) + F.col("pos")
-    return full_row_number(items.withColumn("_key", key), ["scenario_id"], "_key").drop("_key")
+    keyed = items.withColumns({"_rating": -F.col("rating"), "_priority": -priority})
+    return full_row_number(keyed, ["scenario_id"], ["_rating", "_priority", "pos"]).drop("_rating", "_priority")
 
 
 def context_priority(scenario: Column, modality: Column, name: Column) -> Column:

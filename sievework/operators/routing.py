@@ -63,13 +63,15 @@ def live_targets(rules: list[RouteRule], catalogue: DataFrame) -> list[tuple[Rou
 def route_by_rules(requests: DataFrame, catalogue: DataFrame, rules: list[RouteRule]) -> DataFrame:
     """(rid, entry): first rule that holds and whose target exists; a rule without target is passed over.
     The ladder is evaluated once per distinct (item, scenario, region)."""
-    item, scenario, region = F.lower("item"), F.lower("scenario"), F.col("region")
+    item, scenario, region = (F.coalesce(c, F.lit("")) for c in (F.lower("item"), F.lower("scenario"), F.col("region")))
     ladder = F.when(F.lit(False), F.lit(None).cast("string"))
     for rule, entry in live_targets(rules, catalogue):
         ladder = ladder.when(rule.condition(item, scenario, region), F.lit(entry))
     keys = ["item", "scenario", "region"]
     routed = requests.select(*keys).distinct().withColumn("entry", ladder).filter("entry is not null")
-    return requests.join(routed, keys).select("rid", "entry")
+    routed = routed.select(*[F.col(k).alias(f"_{k}") for k in keys], "entry")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]  # nulls are read as empty texts, and may be routed
+    return requests.join(routed, same).select("rid", "entry")
 
 
 def route_by_matches(requests: DataFrame, matches_: DataFrame, catalogue: DataFrame) -> DataFrame:

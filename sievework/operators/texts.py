@@ -12,7 +12,7 @@ from .ranking import full_row_number
 def numbered_batches(rows: DataFrame, keys: list[str], seq: str, name: str, size: int) -> DataFrame:
     """(keys, batch, body): rows of a key in ``seq`` order, ``size`` per batch, one numbered line per
     row. A batch is bounded by ``size``; the row numbers come from the sliced exact numbering."""
-    numbered = full_row_number(rows, keys, seq, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size))
+    numbered = full_row_number(rows, keys, [seq], "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size))
     line = F.concat(
         ((F.col("_n") - 1) % size + 1).cast("string"), F.lit(". ["), F.col(seq).cast("string"), F.lit("] "), F.col(name)
     )

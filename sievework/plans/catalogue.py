@@ -97,7 +97,7 @@ def related_entries(spark, sf):
     sql="WITH t AS (SELECT l_orderkey AS template, l_linenumber * 1000000 + l_partkey AS pos, p_name AS type_id, l_linestatus AS plane FROM lineitem JOIN "
     "part ON p_partkey = l_partkey), lib AS (SELECT p_name AS type_id, arg_min(p_brand, p_partkey) AS name, arg_min(p_size, p_partkey) AS seconds FROM part "
     "WHERE p_type = 'SMALL' GROUP BY 1), k AS (SELECT template, type_id || '_' || plane AS step_id, min(pos) AS pos, any_value(plane || ' ' || name) AS name, "
-    "any_value(seconds) AS seconds FROM t JOIN lib USING (type_id) GROUP BY ALL) SELECT template, row_number() OVER (PARTITION BY template ORDER BY pos) - 1 "
+    "any_value(seconds) AS seconds FROM t JOIN lib USING (type_id) GROUP BY ALL) SELECT template, row_number() OVER (PARTITION BY template ORDER BY pos, step_id) - 1 "
     "AS sort_order, step_id, name, seconds, FALSE AS is_post FROM k",
 )
 def expanded_templates(spark, sf):

@@ -30,7 +30,7 @@ def items_sql(scenario: str, item: str) -> str:
 
 def orders_with_topic(spark, sf):
     nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    customer = table(spark, sf, "customer").join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    customer = table(spark, sf, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
     return table(spark, sf, "orders").join(customer, F.col("c_custkey") == F.col("o_custkey")).select(
         "o_orderkey", "o_custkey", "o_orderpriority", F.col("n_name").alias("topic"), F.col("r_name").alias("region")
     )
