@@ -17,17 +17,17 @@ from .vectors import vectors
 
 CARDS = (
     "cw AS (SELECT item_id * 100000 + pos AS seq, w FROM (SELECT item_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT item_id, "
-    f"string_split({norm_sql('text')}, ' ') AS w FROM benchmark)) WHERE length(w) >= 5), "
+    f"string_split({norm_sql('text')}, ' ') AS w FROM benchmark)) WHERE w <> ''), "
     "cards AS (SELECT min(seq) AS seq, w AS topic, 'the ' || w AS display, count(*) AS scenario_count FROM cw GROUP BY w)"
 )
 ASKED = (
-    "qq AS (SELECT * FROM (SELECT conv_id * 1000 + turn AS qid, trim(lower(text), ' ') AS q FROM conversations UNION ALL SELECT 100000000 + page_id, "
+    "qq AS (SELECT * FROM (SELECT 'turn ' || conv_id || ' ' || turn AS qid, trim(lower(text), ' ') AS q FROM conversations UNION ALL SELECT 'page ' || page_id, "
     f"trim(lower({HOST}), ' ') FROM pages) WHERE length(q) >= 2)"
 )
 
 
 def cards(spark, sf):
-    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split(norm(F.col("text")), " ")).alias("pos", "w")).filter(F.length("w") >= 5)
+    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split(norm(F.col("text")), " ")).alias("pos", "w")).filter("w <> ''")
     return words.groupBy(F.col("w").alias("topic")).agg(
         F.min(F.col("item_id") * 100000 + F.col("pos") + 1).alias("seq"), F.count("*").alias("scenario_count")
     ).withColumn("display", F.concat(F.lit("the "), "topic"))
@@ -48,9 +48,9 @@ def matched_cards(spark, sf):
 
 @query(
     "autocomplete",
-    sql=f"WITH {CARDS}, al AS (SELECT DISTINCT substr(topic, 1, 4) AS alias, display AS topic FROM cards WHERE length(topic) = 9 UNION SELECT DISTINCT "
-    "substr(topic, 1, 4), topic FROM cards WHERE length(topic) = 11), "
-    f"qq AS (SELECT 100000000 + page_id AS qid, lower({HOST}) AS q FROM pages WHERE length({HOST}) >= 2), "
+    sql=f"WITH {CARDS}, al AS (SELECT DISTINCT substr(topic, 1, 4) AS alias, display AS topic FROM cards WHERE length(topic) % 2 = 1 UNION SELECT DISTINCT "
+    "substr(topic, 1, 4), topic FROM cards WHERE length(topic) % 2 = 0), "
+    f"{ASKED}, "
     "atx AS (SELECT DISTINCT qid, al.topic FROM qq JOIN al ON contains(alias, q) OR contains(q, alias)), "
     "b AS (SELECT qid, seq, topic, scenario_count, CASE WHEN topic = q OR display = q THEN 100 WHEN starts_with(topic, q) OR starts_with(display, q) THEN 80 "
     "WHEN contains(topic, q) OR contains(display, q) THEN 60 WHEN contains(q, topic) THEN 50 WHEN (qid, topic) IN (SELECT qid, topic FROM atx) THEN 70 ELSE "
@@ -61,12 +61,11 @@ def matched_cards(spark, sf):
 )
 def autocomplete(spark, sf):
     c = cards(spark, sf)
-    hosts = queries(spark, sf).filter("qid >= 100000000")
     start = F.substring("topic", 1, 4).alias("alias")
-    aliases = c.filter(F.length("topic") == 9).select(start, F.col("display").alias("topic")).unionByName(
-        c.filter(F.length("topic") == 11).select(start, "topic")
+    aliases = c.filter(F.length("topic") % 2 == 1).select(start, F.col("display").alias("topic")).unionByName(
+        c.filter(F.length("topic") % 2 == 0).select(start, "topic")
     ).distinct()
-    out = cd.autocomplete(hosts, c, aliases)
+    out = cd.autocomplete(queries(spark, sf), c, aliases)
     return out.withColumn("score", F.round("score", 4))
 
 
@@ -149,12 +148,11 @@ def region_search(spark, sf):
 @query("global_search")
 def global_search(spark, sf):
     """All stages over benchmark items and page hosts; each stage has its own SQL-checked query."""
-    hosts = queries(spark, sf).filter("qid >= 100000000")
-    q = benchmark(spark, sf).unionByName(hosts)
+    items = benchmark(spark, sf).withColumn("qid", F.concat_ws(" ", F.lit("item"), "qid"))
+    q = items.unionByName(queries(spark, sf))
     v = vectors(spark, sf)
     corpus = table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("name"), F.array("source", "lang").alias("keywords")
     ).join(v, "id", "left")
-    long_cards = cards(spark, sf).filter(F.length("topic") >= 14)
-    long_synonyms = synonyms(spark, sf).filter(F.length("synonym") >= 12)
-    return cd.global_search(q, long_cards, long_synonyms, v.withColumnRenamed("id", "qid"), corpus)
+    asked = v.select(F.concat_ws(" ", F.lit("item"), "id").alias("qid"), *[c for c in v.columns if c != "id"])
+    return cd.global_search(q, cards(spark, sf), synonyms(spark, sf), asked, corpus)

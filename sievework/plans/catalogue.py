@@ -72,18 +72,18 @@ def validated_rows(spark, sf):
 
 @query(
     "tag_suggestions",
-    sql="WITH ty AS (SELECT s_suppkey AS rid, CASE WHEN s_nationkey < 9 THEN 'lt' WHEN s_nationkey < 17 THEN 'ol' ELSE 'w g' END AS q FROM supplier), "
-    "tg AS (SELECT min(p_partkey) AS seq, p_name AS tag FROM part GROUP BY 2), sl AS (SELECT DISTINCT l_suppkey AS rid, p_name AS tag FROM lineitem "
-    "JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49) SELECT rid, tag, CAST(row_number() OVER (PARTITION BY rid ORDER BY seq) AS INTEGER) AS "
+    sql="WITH ty AS (SELECT o_orderkey AS rid, CASE o_orderstatus WHEN 'F' THEN 'lt' WHEN 'O' THEN 'ol' ELSE 'w g' END AS q FROM orders), "
+    "tg AS (SELECT min(p_partkey) AS seq, p_name AS tag FROM part GROUP BY 2), sl AS (SELECT DISTINCT l_orderkey AS rid, p_name AS tag FROM lineitem "
+    "JOIN part ON p_partkey = l_partkey) SELECT rid, tag, CAST(row_number() OVER (PARTITION BY rid ORDER BY seq) AS INTEGER) AS "
     "rank FROM ty JOIN tg ON contains(tag, q) WHERE (rid, tag) NOT IN (SELECT rid, tag FROM sl) QUALIFY rank <= 8",
 )
 def tag_suggestions(spark, sf):
-    n = F.col("s_nationkey")
-    typed = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("rid"), F.when(n < 9, "LT").when(n < 17, "ol").otherwise("w g").alias("q"))
+    n = F.col("o_orderstatus")
+    typed = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rid"), F.when(n == "F", "LT").when(n == "O", "ol").otherwise("w g").alias("q"))
     part = table(spark, sf, "part")
     tags = part.groupBy(F.col("p_name").alias("tag")).agg(F.min("p_partkey").alias("seq"))
-    chosen = table(spark, sf, "lineitem").filter("l_quantity > 49").join(part, F.col("p_partkey") == F.col("l_partkey"))
-    return ca.tag_suggestions(typed, tags, chosen.select(F.col("l_suppkey").alias("rid"), F.col("p_name").alias("tag")).distinct())
+    chosen = table(spark, sf, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    return ca.tag_suggestions(typed, tags, chosen.select(F.col("l_orderkey").alias("rid"), F.col("p_name").alias("tag")).distinct())
 
 
 @query("related_entries", sql=f"WITH {CAT} SELECT a.name, b.name AS related, CAST(row_number() OVER (PARTITION BY a.name ORDER BY b.seq) AS INTEGER) AS "
@@ -94,7 +94,7 @@ def related_entries(spark, sf):
 
 @query(
     "expanded_templates",
-    sql="WITH t AS (SELECT l_orderkey AS template, l_linenumber * 1000000 + l_partkey AS pos, p_name AS type_id, l_linestatus AS plane FROM lineitem JOIN "
+    sql="WITH t AS (SELECT l_orderkey AS template, {'line': l_linenumber, 'part': l_partkey} AS pos, p_name AS type_id, l_linestatus AS plane FROM lineitem JOIN "
     "part ON p_partkey = l_partkey), lib AS (SELECT p_name AS type_id, arg_min(p_brand, p_partkey) AS name, arg_min(p_size, p_partkey) AS seconds FROM part "
     "WHERE p_type = 'SMALL' GROUP BY 1), k AS (SELECT template, type_id || '_' || plane AS step_id, min(pos) AS pos, any_value(plane || ' ' || name) AS name, "
     "any_value(seconds) AS seconds FROM t JOIN lib USING (type_id) GROUP BY ALL) SELECT template, row_number() OVER (PARTITION BY template ORDER BY pos, step_id) - 1 "
@@ -103,7 +103,7 @@ def related_entries(spark, sf):
 def expanded_templates(spark, sf):
     part = table(spark, sf, "part")
     t = table(spark, sf, "lineitem").join(part.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey")).select(
-        F.col("l_orderkey").alias("template"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"),
+        F.col("l_orderkey").alias("template"), F.struct("l_linenumber", "l_partkey").alias("pos"),
         F.col("p_name").alias("type_id"), F.col("l_linestatus").alias("plane"),
     )
     lib = part.filter("p_type = 'SMALL'").groupBy(F.col("p_name").alias("type_id")).agg(F.min(F.struct("p_partkey", "p_brand", "p_size")).alias("f"))
@@ -114,7 +114,7 @@ def expanded_templates(spark, sf):
 @query(
     "evidence",
     sql=f"WITH {BASE}, mt AS (SELECT p_name AS entry, o_custkey AS id, max(l_discount) AS relevance FROM lineitem JOIN part ON p_partkey = l_partkey JOIN "
-    "orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_discount > 0.09 AND l_quantity > 48 GROUP BY ALL), "
+    "orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY ALL), "
     "ls AS (SELECT entry, id, CAST(relevance AS DOUBLE) AS score, 1 AS tier, id AS o FROM mt QUALIFY row_number() OVER (PARTITION BY entry ORDER BY id) "
     "<= 5), sh AS (SELECT name AS entry FROM ca LEFT JOIN ls ON name = entry GROUP BY 1 HAVING count(ls.id) < 3), "
     "h AS (SELECT name AS entry, scenario_id AS id, count(DISTINCT rid) AS n FROM rq JOIN ca ON ca.region = rq.region AND name = split_part(item, ' ', 2) || ' ' || split_part(item, ' ', 3) GROUP BY "
@@ -124,7 +124,7 @@ def expanded_templates(spark, sf):
 )
 def evidence(spark, sf):
     c, r = catalogue(spark, sf), requests(spark, sf)
-    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_discount > 0.09 and l_quantity > 48")
+    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
     m = (
         li.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
         .join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -274,7 +274,7 @@ def text_records(spark, sf):
 
 @query(
     "page_records",
-    sql=f"WITH {STEPS}, m AS (SELECT l_orderkey AS entry, l_shipdate, l_discount AS relevance, l_linenumber * 1000000 + l_partkey AS pos, 'case ' || l_suppkey AS "
+    sql=f"WITH {STEPS}, m AS (SELECT l_orderkey AS entry, l_shipdate, l_discount AS relevance, {{'line': l_linenumber, 'part': l_partkey}} AS pos, 'case ' || l_suppkey AS "
     "scenario FROM lineitem), b AS (SELECT entry, list(scenario ORDER BY r) AS scenarios FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY relevance "
     "DESC, pos, scenario) AS r FROM m QUALIFY r <= 5) GROUP BY 1), s AS (SELECT entry, list(name || '|' || CASE WHEN is_post THEN 'Post-contrast' ELSE "
     "'Pre-contrast' END ORDER BY pos) AS steps FROM st GROUP BY 1) SELECT o_orderkey AS entry, 'Order ' || o_orderkey AS title, CASE WHEN o_orderstatus = 'P' THEN "
@@ -291,7 +291,7 @@ def page_records(spark, sf):
     li = table(spark, sf, "lineitem")
     m = li.select(
         F.col("l_orderkey").alias("entry"), F.col("l_discount").alias("relevance"),
-        F.struct((F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("p"), F.concat_ws(" ", F.lit("case"), "l_suppkey").alias("s")).alias("pos"),
+        F.struct("l_linenumber", "l_partkey", F.concat_ws(" ", F.lit("case"), "l_suppkey").alias("s")).alias("pos"),
         F.concat_ws(" ", F.lit("case"), "l_suppkey").alias("scenario"),
     )
     return ca.page_records(entries, steps(spark, sf), m, ["F", "O"])

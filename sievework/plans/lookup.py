@@ -16,8 +16,8 @@ SYN = (
     "syn AS (SELECT synonym, min(seq) AS seq, arg_max(concept_id, seq) AS concept_id FROM raw WHERE synonym <> '' GROUP BY 1)"
 )
 Q = (
-    f"q AS (SELECT * FROM (SELECT conv_id * 1000 + turn AS qid, {norm_sql('text')} AS q FROM conversations UNION ALL "
-    f"SELECT 100000000 + page_id, {norm_sql(HOST)} FROM pages) WHERE q <> '')"
+    f"q AS (SELECT * FROM (SELECT 'turn ' || conv_id || ' ' || turn AS qid, {norm_sql('text')} AS q FROM conversations UNION ALL "
+    f"SELECT 'page ' || page_id, {norm_sql(HOST)} FROM pages) WHERE q <> '')"
 )
 FUZZY = (
     "fz AS (SELECT q.qid, s.synonym AS matched, s.concept_id, 1 AS distance, length(s.synonym) AS ln, s.seq FROM {src} q JOIN "
@@ -50,9 +50,9 @@ def synonyms(spark, sf):
 
 
 def queries(spark, sf):
-    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    turns = table(spark, sf, "conversations").select(F.concat_ws(" ", F.lit("turn"), "conv_id", "turn").alias("qid"), "text")
     hosts = table(spark, sf, "pages").select(
-        (F.col("page_id") + 100000000).alias("qid"),
+        F.concat_ws(" ", F.lit("page"), "page_id").alias("qid"),
         F.regexp_extract("url", r"//(m\.|www\.)?([^./]+)\.", 2).alias("text"),
     )
     return turns.unionByName(hosts)

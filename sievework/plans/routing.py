@@ -58,7 +58,7 @@ def _rule_sql(rules) -> str:
 
 MATCHES = (
     "mt AS (SELECT p_name AS entry, o_custkey AS scenario_id, max(l_discount) AS relevance FROM lineitem JOIN part ON p_partkey = "
-    "l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_discount > 0.07 GROUP BY ALL), "
+    "l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY ALL), "
     "me AS (SELECT rid, entry FROM rq JOIN mt USING (scenario_id) JOIN ca ON ca.name = entry QUALIFY row_number() OVER (PARTITION BY rid "
     "ORDER BY CAST(needs <> uses AS INTEGER), relevance DESC, seq) = 1)"
 )
@@ -120,7 +120,7 @@ def catalogue(spark, sf):
 
 
 def explicit(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_discount > 0.07")
+    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
     return (
         li.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
         .join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -269,14 +269,14 @@ def name_components(spark, sf):
 @query(
     "router",
     sql=f"WITH {BASE}, {COMP}, rg AS (SELECT lower('MRI ' || p_name || ' with IV contrast') AS k, arg_min(p_brand, p_partkey) AS e FROM part "
-    "WHERE p_type = 'SMALL' AND p_size > 45 GROUP BY 1), f AS (SELECT item, list(name ORDER BY seq)[1:3] AS entries FROM cm JOIN ca ON "
+    "WHERE p_type = 'SMALL' GROUP BY 1), f AS (SELECT item, list(name ORDER BY seq)[1:3] AS entries FROM cm JOIN ca ON "
     "cm.body_part IS NOT NULL AND (contains(ca.body_part, replace(cm.body_part, '_', ' ')) OR contains(replace(cm.body_part, '_', ' '), "
     "ca.body_part)) WHERE name NOT IN ('hot ring', 'old bolt') GROUP BY 1) SELECT cm.item, CASE WHEN k IS NOT NULL THEN 'exact' WHEN "
     "f.entries IS NOT NULL THEN 'component' ELSE 'unmapped' END AS match_type, contrast, body_part, CASE WHEN k IS NOT NULL THEN [e] ELSE "
     "f.entries END AS entries FROM cm LEFT JOIN rg ON lower(item) = k LEFT JOIN f ON f.item = cm.item",
 )
 def router(spark, sf):
-    p = table(spark, sf, "part").filter("p_type = 'SMALL' and p_size > 45")
+    p = table(spark, sf, "part").filter("p_type = 'SMALL'")
     registry = p.select(
         F.col("p_partkey").alias("seq"), F.concat(F.lit("MRI "), "p_name", F.lit(" with IV contrast")).alias("name"),
         F.array("p_brand").alias("entries"),

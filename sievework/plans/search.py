@@ -151,7 +151,7 @@ def bm25_search(spark, sf):
 
 @query(
     "name_search",
-    sql=f"WITH q0 AS (SELECT item_id AS qid, {norm_sql('text')} AS q FROM benchmark UNION ALL SELECT 1000000 + page_id, "
+    sql=f"WITH q0 AS (SELECT 'item ' || item_id AS qid, {norm_sql('text')} AS q FROM benchmark UNION ALL SELECT 'page ' || page_id, "
     f"{norm_sql(HOST)} FROM pages), "
     "qq AS (SELECT * FROM (SELECT qid, q, list_filter(string_split(q, ' '), lambda x: length(x) >= 2) AS toks FROM q0 "
     "WHERE length(q) >= 3) WHERE len(toks) > 0), "
@@ -170,9 +170,10 @@ def bm25_search(spark, sf):
 )
 def name_search(spark, sf):
     hosts = table(spark, sf, "pages").select(
-        (F.col("page_id") + 1000000).alias("qid"), F.regexp_extract("url", r"//(m\.|www\.)?([^./]+)\.", 2).alias("text")
+        F.concat_ws(" ", F.lit("page"), "page_id").alias("qid"), F.regexp_extract("url", r"//(m\.|www\.)?([^./]+)\.", 2).alias("text")
     )
     corpus = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"), F.col("text").alias("name"), F.array("source", "lang").alias("keywords")
     )
-    return lexical.name_search(benchmark(spark, sf).unionByName(hosts), corpus, k=8)
+    items = benchmark(spark, sf).withColumn("qid", F.concat_ws(" ", F.lit("item"), "qid"))
+    return lexical.name_search(items.unionByName(hosts), corpus, k=8)
