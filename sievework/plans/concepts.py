@@ -8,7 +8,7 @@ from ..operators import concepts as co
 from ..operators import lexical
 from ..operators.containment import phrase_pairs
 from ..session import spread, table
-from .registry import query
+from .registry import ORACLES, query
 from .search import benchmark, documents
 from .texts import CONTEXTS, PHASES, context_value_sql, phase_sql
 
@@ -197,9 +197,14 @@ def labelled_accuracy(spark, sf):
     return co.labelled_accuracy(rows, [("good", "quality"), ("bad", "toxic")])
 
 
-@query("retrieval_metrics")
+@query(
+    "retrieval_metrics",
+    sql=f"WITH h AS ({ORACLES['bm25_search']}), tr AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), "
+    "f AS (SELECT tr.qid, min(h.rank) AS r FROM tr LEFT JOIN h ON h.qid = tr.qid AND h.id = tr.id GROUP BY 1) SELECT count(*) AS queries, "
+    "round(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / r, 0.0)), 6) AS mrr FROM f",
+)
 def retrieval_metrics(spark, sf):
-    """BM25 hits against the documents that hold an item verbatim; the parts have SQL, see bm25_search."""
+    """BM25 hits against the documents that hold an item verbatim."""
     hits = lexical.bm25_search(benchmark(spark, sf), documents(spark, sf), k=10)
     truth = phrase_pairs(
         benchmark(spark, sf).select(F.col("qid").alias("nid"), F.col("text").alias("needle")),

@@ -241,9 +241,17 @@ def ambiguous_queries(spark, sf):
     return refine_query(options, F.col("text"), F.col("value")).select("qid", "pos", "label", "value", "refined")
 
 
-@query("token_ids")
+VOCABULARY = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "the": 4, "of": 5, "de": 6, "la": 7, "der": 8}
+
+
+@query(
+    "token_ids",
+    sql="WITH t AS (SELECT conv_id, turn, list_slice(regexp_extract_all(lower(text), '\\w(?:[\\w/-]*\\w)?'), 1, 30) AS toks FROM conversations), "
+    "b AS (SELECT conv_id, turn, list_concat([2], list_transform(toks, lambda x: CASE "
+    + " ".join(f"WHEN x = {literal(word)} THEN {number}" for word, number in VOCABULARY.items())
+    + " ELSE 1 END), [3]) AS ids FROM t) "
+    "SELECT conv_id, turn, list_resize(ids, 32, 0) AS ids, list_resize(list_transform(ids, lambda x: 1), 32, 0) AS mask FROM b",
+)
 def token_ids(spark, sf):
-    """Token ids of conversation turns; no SQL counterpart, brute force in the tests."""
-    vocab = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "the": 4, "of": 5, "de": 6, "la": 7, "der": 8}
-    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
-    return turns.select("qid", intent.token_ids(F.col("text"), vocab).alias("t")).select("qid", "t.ids", "t.mask")
+    turns = table(spark, sf, "conversations")
+    return turns.select("conv_id", "turn", intent.token_ids(F.col("text"), VOCABULARY).alias("t")).select("conv_id", "turn", "t.ids", "t.mask")

@@ -217,9 +217,17 @@ def equivalence_keys(spark, sf):
     return parts(spark, sf).select("id", titles.equivalence_key(name, EQ_RULES).alias("key"))
 
 
-@query("near_duplicate_drop")
+@query(
+    "near_duplicate_drop",
+    sql="WITH RECURSIVE p AS (SELECT page_id AS seq, regexp_extract(url, '//(m\\.|www\\.)?([a-z]+)', 2) AS host, "
+    f"{eq_sql(TITLE)} AS key FROM pages), o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) AS rn FROM p), "
+    "r AS (SELECT host, rn, [key] AS kept, TRUE AS stays FROM o WHERE rn = 1 UNION ALL SELECT host, rn, CASE WHEN ok THEN list_append(kept, key) ELSE kept "
+    "END, ok FROM (SELECT o.host, o.rn, o.key, r.kept, len(list_filter(r.kept, lambda k: (contains(k, o.key) OR contains(o.key, k)) AND "
+    "abs(length(k) - length(o.key)) < 5)) = 0 AS ok FROM r JOIN o ON o.host = r.host AND o.rn = r.rn + 1)) "
+    "SELECT o.host, o.key, o.seq FROM o JOIN r USING (host, rn) WHERE stays",
+)
 def near_duplicate_drop(spark, sf):
-    """Greedy pass per page host over page titles; order-dependent, so without a SQL counterpart."""
+    """Greedy pass per page host over page titles."""
     rows = pages(spark, sf).select(
         F.regexp_extract("url", r"//(m\.|www\.)?([a-z]+)", 2).alias("host"),
         titles.equivalence_key(F.col("title"), EQ_RULES).alias("key"),
