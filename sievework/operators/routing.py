@@ -164,7 +164,17 @@ def score_entries(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def best_scored(requests: DataFrame, catalogue: DataFrame, floor: int = 5) -> DataFrame:
     """(rid, entry, score): best entry scoring at least ``floor``, earliest on ties. A request without any
-    shared term or region falls back to the first entry that agrees on contrast."""
+    shared term or region falls back to the first entry that agrees on contrast.
+
+    Requests of the same region, contrast and terms are scored once."""
+    profile = F.to_json(F.struct("region", "needs_contrast", F.array_sort("terms").alias("terms")))
+    asked = requests.select("rid", profile.alias("profile"), "region", "terms", "needs_contrast")
+    distinct = asked.select("profile", "region", F.array_sort("terms").alias("terms"), "needs_contrast").distinct()
+    best = _best_entries(distinct.withColumnRenamed("profile", "rid"), catalogue, floor)
+    return asked.select("rid", "profile").join(best.withColumnRenamed("rid", "profile"), "profile").select("rid", "entry", "score")
+
+
+def _best_entries(requests: DataFrame, catalogue: DataFrame, floor: int) -> DataFrame:
     scored = score_entries(requests, catalogue)
     firsts = first_by(catalogue.select("uses_contrast", "seq", F.col("name").alias("entry")), ["uses_contrast"], ["seq"], ["entry"])
     agreeing = requests.select("rid", "needs_contrast").join(
