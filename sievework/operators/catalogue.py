@@ -285,15 +285,11 @@ def page_records(entries: DataFrame, steps: DataFrame, matches: DataFrame, regio
     )
 
 
-def url_list(slugs: DataFrame, regions: list[str]) -> DataFrame:
-    """(loc, priority, changefreq) of the fixed pages, the regions and every slug."""
-    fixed = [("/", "1.0", "weekly"), ("/about/", "0.5", "monthly"), ("/privacy-policy.html", "0.3", "yearly")]
-    fixed += [(f"/regions/{r}/", "0.8", "monthly") for r in regions]
-    spark = slugs.sparkSession
-    head = spark.createDataFrame(fixed, "loc string, priority string, changefreq string")
-    return head.unionByName(
-        slugs.select(F.concat(F.lit("/protocols/"), "slug", F.lit("/")).alias("loc"), F.lit("0.7").alias("priority"), F.lit("monthly").alias("changefreq"))
-    )
+def url_list(slugs: DataFrame, fixed: list[tuple[str, str, str]], page: tuple[str, str, str]) -> DataFrame:
+    """(loc, priority, changefreq) of the ``fixed`` pages and of every slug, which takes the place of ``%s`` in ``page``."""
+    head = slugs.sparkSession.createDataFrame(fixed, "loc string, priority string, changefreq string")
+    loc, priority, often = page
+    return head.unionByName(slugs.select(F.format_string(loc, "slug").alias("loc"), F.lit(priority).alias("priority"), F.lit(often).alias("changefreq")))
 
 
 def unique_slugs(rows: DataFrame, seq: str = "seq", base: str = "base", disc: str = "disc") -> DataFrame:

@@ -198,31 +198,18 @@ def ordered_items(items: DataFrame, priority: Column) -> DataFrame:
     return full_row_number(keyed, ["scenario_id"], ["_rating", "_priority", "pos"]).drop("_rating", "_priority")
 
 
-def context_priority(scenario: Column, modality: Column, name: Column) -> Column:
-    """Modality priority that depends on the scenario's wording; larger comes first."""
-    s, n = F.lower(scenario), F.lower(name)
-    head, brain = F.contains(n, F.lit("head")), F.contains(n, F.lit("brain"))
-    ct, mri, us = modality == "CT", modality == "MRI", modality == "US"
-    film = modality.isin("Radiography", "XR")
-    vessel = contains_any(n, ["angio", "cta"])
-    nerve = contains_any(s, ["stroke", "ischemic", "hemorrhage", "neurological"])
-    injury = contains_any(s, ["trauma", "injury"])
-    return (
-        F.when(nerve & ct & (head | brain), 100)
-        .when(nerve & mri & (head | brain), 90)
-        .when(nerve & ct & vessel, 85)
-        .when(nerve & mri, 80)
-        .when(nerve & ct, 75)
-        .when(nerve & us, 50)
-        .when(injury & ct, 90)
-        .when(injury & film, 85)
-        .when(injury & mri, 70)
-        .when(mri, 60)
-        .when(ct, 55)
-        .when(us, 40)
-        .when(film, 35)
-        .otherwise(30)
-    )
+def context_priority(scenario: Column, modality: Column, name: Column, rules: list = packs.CONTEXT_PRIORITIES, otherwise: int = packs.PLAIN_PRIORITY) -> Column:
+    """Modality priority that depends on the scenario's wording; larger comes first. The first rule that holds of
+    ``(words of the scenario, modalities, words of the name, priority)`` counts; no words hold always."""
+    ladder = F.when(F.lit(False), F.lit(None).cast("int"))
+    for wording, modalities, words, priority in rules:
+        holds = modality.isin(modalities)
+        if wording:
+            holds = holds & contains_any(F.lower(scenario), wording)
+        if words:
+            holds = holds & contains_any(F.lower(name), words)
+        ladder = ladder.when(holds, priority)
+    return ladder.otherwise(otherwise)
 
 
 def quick_reference(items: DataFrame, pathways: list[tuple[str, list[str]]], k: int = 3) -> DataFrame:

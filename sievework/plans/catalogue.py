@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import catalogue as ca
 from ..session import table
-from .registry import query
+from .registry import query, values_sql
 from .routing import BASE, catalogue, requests
 from .texts import SLUG
 
@@ -317,11 +317,16 @@ def unique_slugs(spark, sf):
     return ca.unique_slugs(slug_rows(spark, sf)).select("seq", "slug")
 
 
-@query("url_list", sql=f"WITH {SLUG_SQL} SELECT '/protocols/' || slug || '/' AS loc, '0.7' AS priority, 'monthly' AS changefreq FROM sl UNION ALL SELECT * FROM "
-       "(VALUES ('/', '1.0', 'weekly'), ('/about/', '0.5', 'monthly'), ('/privacy-policy.html', '0.3', 'yearly'), ('/regions/asia/', '0.8', 'monthly'), "
-       "('/regions/europe/', '0.8', 'monthly'))")
+FIXED_PAGES = [
+    ("/", "1.0", "weekly"), ("/about/", "0.5", "monthly"), ("/privacy-policy.html", "0.3", "yearly"), ("/regions/asia/", "0.8", "monthly"),
+    ("/regions/europe/", "0.8", "monthly"),
+]
+
+
+@query("url_list", sql=f"WITH {SLUG_SQL}, " + values_sql("fixed", "loc, priority, changefreq", FIXED_PAGES) + " SELECT '/protocols/' || slug || '/' AS loc, "
+       "'0.7' AS priority, 'monthly' AS changefreq FROM sl UNION ALL SELECT * FROM fixed")
 def url_list(spark, sf):
-    return ca.url_list(ca.unique_slugs(slug_rows(spark, sf)), ["asia", "europe"])
+    return ca.url_list(ca.unique_slugs(slug_rows(spark, sf)), FIXED_PAGES, ("/protocols/%s/", "0.7", "monthly"))
 
 
 @query("cached_labels", sql="WITH c AS (SELECT DISTINCT left(md5(text), 16) AS key FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT doc_id AS id, "
