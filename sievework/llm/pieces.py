@@ -15,15 +15,18 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 CACHED_CHARS = 64
 CACHED_WORDS = 300_000
+SLICE_ROWS = 4_000
 CACHED_PAIRS = 1_000_000
 
 
@@ -72,6 +75,12 @@ class PieceModel:
             self.surface[i] = ""
         self.surface[self.unknown] = " ⁇ "
         self.silent = silent
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else x.encode() for i, x in enumerate(self.surface)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_lengths = np.array([len(x) for x in raw])
+        self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
+        self.leads = np.array([p.startswith(SPACE) for p in self.pieces], np.int64)
+        self.is_silent = np.isin(np.arange(size), list(silent))
         for i, b in self.byte_of.items():
             if b < 128:
                 self.surface[i] = chr(b)
@@ -233,9 +242,21 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
-        if ids is None:
-            ids = self.model._part(word if word[:1] == "\n" else SPACE + word)
-        return self.keep(word, ids)
+        return self.keep(word, self._new(word) if ids is None else ids)
+
+    def _new(self, word: str) -> bytes:
+        model = self.model
+        if word[:1] != "\n":
+            part, inner = SPACE + word, model.inner
+            if part[-2:] in inner:
+                if all(map(inner.__contains__, map(add, part, part[1:]))):  # no cut: the word is looked at as a whole
+                    return array("i", model._laid(part)).tobytes()
+            elif len(part) > 2 and part[-1] in model.known and all(map(inner.__contains__, map(add, part[:-1], part[1:-1]))):
+                head = self.get(word[:-1])  # one sign after a word
+                if head is None:
+                    head = self.keep(word[:-1], array("i", model._laid(part[:-1])).tobytes())
+                return head + model._uncut(part[-1])
+        return model._part(word if word[:1] == "\n" else SPACE + word)
 
     def keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= CACHED_CHARS:
@@ -272,11 +293,60 @@ def model_at(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _lists(packed: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0] + [len(x) // 4 for x in packed])
-    kind = pa.ListArray if ends[-1] < 2**31 else pa.LargeListArray
-    ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
-    return kind.from_arrays(pa.array(ends, pa.int32() if kind is pa.ListArray else pa.int64()), ids)
+def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of stretches laid end to end."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def _list_array(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, pa.int32()))
+
+
+def _encoded(model: PieceModel, texts: pa.Array) -> pa.Array:
+    """Ids of some thousand texts: words are looked up once for all of them, their ids are laid out by numpy."""
+    texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
+    if not model.by_word or pc.any(pc.match_substring_regex(texts, r"  |^ | $| \n|\n ")).as_py():
+        packed = [model.packed(t) for t in texts.to_pylist()]
+        return _list_array(np.cumsum([0] + [len(x) // 4 for x in packed]), np.frombuffer(b"".join(packed), np.int32))
+    split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    words = split.flatten().dictionary_encode()
+    packed = list(map(model.words.__getitem__, words.dictionary.to_pylist()))
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    ids = np.frombuffer(b"".join(packed), np.int32)
+    index = words.indices.to_numpy()
+    lengths = sizes[index]
+    laid = ids[_gather((np.cumsum(sizes) - sizes)[index], lengths)]
+    ends = np.concatenate(([0], np.cumsum(lengths)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return _list_array(ends, laid)
+
+
+def _decoded(model: PieceModel, lists: pa.Array) -> pa.Array:
+    """Texts of some thousand id lists; all bytes are laid out at once, and looked at singly only where that isn't text."""
+    lists = pc.fill_null(lists, pa.scalar([], lists.type))
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    ids = lists.values.to_numpy()[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if not len(ids) or not model.is_silent[ids].any():
+        starts, lengths = model.raw_starts[ids], model.raw_lengths[ids]
+        firsts = ends[:-1][ends[:-1] < ends[1:]]
+        lead = model.leads[ids[firsts]]
+        starts[firsts] += lead
+        lengths[firsts] -= lead
+        raw = model.raw[_gather(starts, lengths)]
+        offsets = np.concatenate(([0], np.cumsum(lengths)))[ends].astype(np.int32)
+        text = pa.StringArray.from_buffers(len(lists), pa.py_buffer(offsets), pa.py_buffer(raw))
+        try:
+            text.validate(full=True)
+            return text
+        except pa.ArrowInvalid:
+            pass
+    return pa.array([model.decode(x) for x in lists.to_pylist()], pa.string())
+
+
+def _by_slices(run, model: PieceModel, rows: pa.Array, kind: pa.DataType) -> pa.Array:
+    parts = [run(model, rows[k : k + SLICE_ROWS]) for k in range(0, len(rows), SLICE_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def encode(text: Column, model_file: str) -> Column:
@@ -285,7 +355,7 @@ def encode(text: Column, model_file: str) -> Column:
     @F.arrow_udf("array<int>")
     def piece_ids(texts: pa.Array) -> pa.Array:
         model = model_at(model_file)
-        return _lists([model.packed(t.as_py()) for t in texts])
+        return _by_slices(_encoded, model, texts, pa.list_(pa.int32()))
 
     return piece_ids(text)
 
@@ -296,6 +366,6 @@ def decode(ids: Column, model_file: str) -> Column:
     @F.arrow_udf("string")
     def piece_text(lists: pa.Array) -> pa.Array:
         model = model_at(model_file)
-        return pa.array([model.decode(x.values.tolist() if x.is_valid else None) for x in lists], pa.string())
+        return _by_slices(_decoded, model, lists, pa.string())
 
     return piece_text(ids)
