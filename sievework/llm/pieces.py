@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 CACHED_CHARS = 64
 CACHED_WORDS = 300_000
-SLICE_ROWS = 4_000
+SLICE_BYTES = 4 << 20
 CACHED_PAIRS = 1_000_000
 
 
@@ -296,7 +296,11 @@ def model_at(path: str) -> PieceModel:
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of stretches laid end to end."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 2**31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return at
 
 
 def _list_array(ends: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -344,9 +348,13 @@ def _decoded(model: PieceModel, lists: pa.Array) -> pa.Array:
     return pa.array([model.decode(x) for x in lists.to_pylist()], pa.string())
 
 
-def _by_slices(run, model: PieceModel, rows: pa.Array, kind: pa.DataType) -> pa.Array:
-    parts = [run(model, rows[k : k + SLICE_ROWS]) for k in range(0, len(rows), SLICE_ROWS)]
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+def _by_slices(run, model: PieceModel, rows: pa.Array, sizes: pa.Array, kind: pa.DataType) -> pa.Array:
+    """Batches come by number of rows; they are worked through in slices of about ``SLICE_BYTES``."""
+    if not len(rows):
+        return pa.array([], kind)
+    slice_of = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(rows)]
+    return pa.concat_arrays([run(model, rows[a:b]) for a, b in zip(cuts, cuts[1:])])
 
 
 def encode(text: Column, model_file: str) -> Column:
@@ -355,7 +363,7 @@ def encode(text: Column, model_file: str) -> Column:
     @F.arrow_udf("array<int>")
     def piece_ids(texts: pa.Array) -> pa.Array:
         model = model_at(model_file)
-        return _by_slices(_encoded, model, texts, pa.list_(pa.int32()))
+        return _by_slices(_encoded, model, texts, pc.binary_length(texts), pa.list_(pa.int32()))
 
     return piece_ids(text)
 
@@ -366,6 +374,6 @@ def decode(ids: Column, model_file: str) -> Column:
     @F.arrow_udf("string")
     def piece_text(lists: pa.Array) -> pa.Array:
         model = model_at(model_file)
-        return _by_slices(_decoded, model, lists, pa.string())
+        return _by_slices(_decoded, model, lists, pc.multiply(pc.list_value_length(lists), 4), pa.string())
 
     return piece_text(ids)
