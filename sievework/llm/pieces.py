@@ -319,9 +319,11 @@ def _encoded(model: PieceModel, texts: pa.Array) -> pa.Array:
     sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
     ids = np.frombuffer(b"".join(packed), np.int32)
     index = words.indices.to_numpy()
+    starts = split.offsets.to_numpy() - split.offsets[0].as_py()
     lengths = sizes[index]
+    lengths[starts[:-1][pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)]] = 0  # an empty text is split into one empty word
     laid = ids[_gather((np.cumsum(sizes) - sizes)[index], lengths)]
-    ends = np.concatenate(([0], np.cumsum(lengths)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    ends = np.concatenate(([0], np.cumsum(lengths)))[starts]
     return _list_array(ends, laid)
 
 

@@ -52,6 +52,17 @@ def test_columns(docs, library):
         assert r.back == library.decode(r.coded)
 
 
+def test_empty_texts_among_plain_words(docs, library):
+    """No text here holds a double, leading or trailing blank."""
+    for texts in (["", None, "plain words", "", "a\n\nb", "\n", "\nx", None, "end"], [None, "", ""], ["word", ""], ["", "word"]):
+        coded = docs(texts).coalesce(1).select("text", pieces.encode(F.col("text"), piece_model()).alias("coded"))
+        rows = coded.withColumn("back", pieces.decode(F.col("coded"), piece_model())).collect()
+        assert [r.text for r in rows] == texts
+        for r in rows:
+            assert r.coded == library.encode(r.text or "")
+            assert r.back == library.decode(r.coded)
+
+
 def test_empty_table(docs):
     frame = docs([]).select(pieces.encode(F.col("text"), piece_model()).alias("ids"))
     assert frame.select(pieces.decode(F.col("ids"), piece_model())).collect() == []
