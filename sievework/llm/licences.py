@@ -1,8 +1,10 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each is normalised to lower-case ASCII words and looked up among known licence
-sentences; the sequence of identifiers found is then matched against ordered licence rules. A rule holds if its
-identifiers occur in its order, whatever stands between them.
+A text is normalised to lower-case ASCII words between ends: hard ends of sentences and at blank lines, soft ends of
+lines and after the abbreviation "v.". Known licence sentences are found from one end to another; soft ends may stand
+within them, so that wrapped text is found too. Only ``UNWRAPPED`` sentences, short phrases, stand on one line. The
+sequence of identifiers found is then matched against ordered licence rules. A rule holds if its identifiers occur in
+its order, whatever stands between them. ``TITLES`` and wrapped sentences are beyond the SQL counterpart.
 
 Null and empty texts have no sentences. Repeated rows are each judged alone. Texts without any word that known
 sentences are anchored on are not cut at all.
@@ -45,6 +47,11 @@ SENTENCES = [
     ("rights.reserved", "all rights reserved"),
 ]
 
+#: Further forms of sentences.
+TITLES = [("mit.title", "mit license")]
+#: Identifiers of sentences that no line end may stand in.
+UNWRAPPED = {"rights.reserved"}
+
 #: Licence and the identifiers that have to follow one another. Later rules don't hide earlier ones.
 RULES = [
     ("Apache-2.0", ["apache.short"]),
@@ -71,6 +78,15 @@ RULES = [
 #: Every known sentence holds one of these words or word parts, so texts without them need no cutting.
 ANCHORS = ["licens", "warranty", "redistribut", "copyright", "rights reserved"]
 SENTENCE_END = r"[.!?]+[\x20\x09-\x0D]+|\n+"
+SPACES = r"[\x20\x09-\x0D]"
+#: Pattern and its mark, a capital, of which lower-case text has none: H for hard and S for soft ends.
+ENDS = [
+    (rf"(?<![a-z0-9])v\.(?={SPACES})[\x20\x09\x0B-\x0D]*\n?", "v S "),
+    (rf"[.!?]+{SPACES}+", " H "),
+    (r"\n[^a-z0-9A-Z\n]*\n", " H "),
+    (r"\n", " S "),
+    ("[^a-z0-9A-Z]+", " "),
+]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,6 +101,13 @@ def rule_pattern(identifiers: list[str]) -> str:
     return "( [^ ]+ )*".join(f" {re.escape(x)} " for x in identifiers)
 
 
+def sentence_pattern(sentences: list[tuple[str, str]]) -> str:
+    """Pattern of any known sentence from end to end in marked text; of those with one start, the shortest."""
+    forms = sorted(sentences, key=lambda x: len(x[1]))
+    each = "|".join((" " if name in UNWRAPPED else "(?: S)? ").join(words.split(" ")) for name, words in forms)
+    return f"(?<=[HS] )(?:{each})(?= [HS])"
+
+
 def licence_sentences(text: Column, sentences: list[tuple[str, str]], anchors: list[str]) -> Column:
     """Identifiers of the known sentences of a text, in its order."""
     check_tables(sentences, anchors)
@@ -94,13 +117,15 @@ def licence_sentences(text: Column, sentences: list[tuple[str, str]], anchors: l
     asked = F.lit(False)
     for word in dict.fromkeys(a.split()[0] for a in anchors):
         asked = asked | low.contains(word)
-    found = F.transform(
-        F.split(low, SENTENCE_END, -1), lambda s: F.try_element_at(names, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    )
-    return F.when(F.coalesce(asked, F.lit(False)), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    marked = low
+    for pattern, mark in ENDS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    met = F.regexp_extract_all(F.concat(F.lit("H "), F.trim(marked), F.lit(" H")), F.lit(sentence_pattern(sentences)), F.lit(0))
+    found = F.transform(met, lambda s: F.try_element_at(names, F.replace(s, F.lit(" S"), F.lit(""))))
+    return F.when(F.coalesce(asked, F.lit(False)), found).otherwise(F.array().cast("array<string>"))
 
 
-def licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences=SENTENCES, rules=RULES, anchors=ANCHORS) -> DataFrame:
+def licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences=SENTENCES + TITLES, rules=RULES, anchors=ANCHORS) -> DataFrame:
     """One row per row of ``docs``: its id, ``sentence_ids`` in order, ``licences`` that hold, in the order of the rules."""
     named = docs.select(F.col(id_column).alias("doc_id"), licence_sentences(F.col(text_column), sentences, anchors).alias("sentence_ids"))
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))

@@ -33,6 +33,63 @@ def test_every_sentence_and_rule_is_reachable(docs):
         licences.check_tables([("x", "free for all")], licences.ANCHORS)
 
 
+WRAPPED = [
+    ("GPL-3.0", """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""),
+    ("BSD-2-Clause", """Copyright (c) 2020, X
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""),
+    ("MIT", """MIT License
+
+Copyright (c) 2020 X
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""),
+    ("Apache-2.0", """   Copyright 2020 X
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""),
+]
+
+
+def test_wrapped_licences(docs):
+    texts = [t for _, t in WRAPPED]
+    texts += ["/*\n" + "".join(f" * {line}\n" for line in t.split("\n")) + " */" for t in texts] + [t.replace("\n", "\r\n") for t in texts]
+    got = sorted(licences.licences(docs(texts)).collect(), key=lambda r: r.doc_id)
+    assert [r.licences for r in got] == [[name] for name, _ in WRAPPED] * 3
+    assert got[3].sentence_ids == ["apache.header", "apache.terms", "apache.copy", "apache.basis"]
+    apart = ["This source code form is subject to the terms of the Mozilla Public\n\nLicense, v. 2.0.", "See v. \nAll rights reserved", "\n" * 20_000 + "licensed under the mit\nlicense"]
+    got = sorted(licences.licences(docs(apart)).collect(), key=lambda r: r.doc_id)
+    assert [r.licences for r in got] == [[], ["Proprietary"], ["MIT"]]
+
+
 @pytest.fixture(scope="module")
 def ranks():
     import public_tokenizers
