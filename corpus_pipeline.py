@@ -16,6 +16,10 @@ from sievework.plans.registry import query
 from sievework.session import materialise, release, table
 
 
+#: Words from which a line counts as a passage, which nobody repeats by chance.
+LONG_WORDS = 50
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; all others go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -23,8 +27,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in at least ten documents stay in the first one only; ``n_chars`` follows the text."""
-    kept = lines.without_lines(docs, lines.dropped_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True))
+    """Lines found in at least ten documents, passages of 50 words or more in at least two, stay in the first one only;
+    ``n_chars`` follows the text."""
+    kept = lines.without_lines(docs, lines.dropped_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True, long_words=LONG_WORDS))
     return kept.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

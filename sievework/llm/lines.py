@@ -35,25 +35,27 @@ def _tag(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def line_occurrences(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> DataFrame:
-    """``id, tag, pos, hash`` of every line with a key of at least ``min_chars`` code points."""
+def line_occurrences(docs: DataFrame, id_column: str, text_column: str, min_chars: int, long_words: int | None = None) -> DataFrame:
+    """``id, tag, pos, hash`` of every line with a key of at least ``min_chars`` code points, and whether it is ``long``."""
+    words = F.size(F.array_remove(F.split(F.translate("key", BLANK_CHARS, " " * len(BLANK_CHARS)), " ", -1), ""))
+    long = F.lit(False) if long_words is None else words >= long_words
     # Null ids would never meet their bitmap in a join; the tag keeps such rows apart.
     base = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     return (
         base.select("id", _tag(F.col("text")).alias("tag"), F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
         .withColumn("key", line_key(F.col("line")))
         .filter(F.char_length("key") >= min_chars)
-        .select("id", "tag", "pos", F.xxhash64("key").alias("hash"))
+        .select("id", "tag", "pos", F.xxhash64("key").alias("hash"), long.alias("long"))
     )
 
 
-def dropped_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def dropped_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, long_words: int | None = None) -> DataFrame:
     """``id, tag, dropped``: for each document that loses a line, its 64-line words with the bits of lines to drop.
 
     Lines found in at least ``min_docs`` documents go: all their occurrences, or with ``keep_first`` all but the first
-    one by document and position."""
+    one by document and position. Lines of ``long_words`` words or more go from two documents on."""
     spark = docs.sparkSession
-    occurrences = materialise(line_occurrences(docs, id_column, text_column, min_chars), "lines")
+    occurrences = materialise(line_occurrences(docs, id_column, text_column, min_chars, long_words), "lines")
     splits = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = F.pmod(F.xxhash64("id", "tag"), F.lit(splits)).cast("int")
     order = ["hash", "split", "id", "tag", "pos"]
@@ -61,8 +63,9 @@ def dropped_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str
     window = Window.partitionBy("hash", "split").orderBy("id", "tag", "pos")
     here = F.struct("id", "tag")
     streamed = ranged.withColumn("new_document", F.when(here.eqNullSafe(F.lag(here).over(window)), 0).otherwise(1))
-    sums = streamed.groupBy("hash", "split").agg(F.sum("new_document").alias("n"), F.min(F.struct("id", "tag", "pos")).alias("first"))
-    common = sums.groupBy("hash").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).filter(F.col("n_docs") >= min_docs)
+    sums = streamed.groupBy("hash", "split").agg(F.sum("new_document").alias("n"), F.min(F.struct("id", "tag", "pos")).alias("first"), F.max("long").alias("long"))
+    least = F.when(F.col("long"), min(2, min_docs)).otherwise(min_docs)
+    common = sums.groupBy("hash").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first"), F.max("long").alias("long")).filter(F.col("n_docs") >= least)
     # A line of very many documents meets its verdict in several tasks.
     spread = F.pmod(F.xxhash64("tag", "id"), F.lit(SPREAD)).cast("int")
     verdicts = common.select("hash", "first", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))

@@ -58,6 +58,13 @@ def test_stages_equal_brute_force(spark, docs, words, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in whole) == sorted((r.doc_id, r.n_tokens) for r in five)
 
 
+def test_shared_passages_stay_in_the_first_document(spark, docs, words):
+    passage, short = words(50, 901), words(49, 902)
+    texts = [f"{words(60, 2 * k)}\n{passage if k % 2 else '  ' + passage.upper()}\n{short}\n{words(60, 2 * k + 1)}" for k in range(3)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_common_lines(spark, docs(texts), "").collect()}
+    assert got == {0: texts[0]} | {k: "\n".join(t.split("\n")[:1] + t.split("\n")[2:]) for k, t in enumerate(texts) if k}
+
+
 def test_no_rows(spark, docs, tmp_path):
     folder = str(tmp_path)
     docs([]).write.parquet(f"{folder}/documents.parquet")
