@@ -107,6 +107,24 @@ def test_verdicts_equal_brute_force(spark, words):
     assert all(r.kept for r in clean)
 
 
+def test_repeats_alone_are_rejected(docs, words):
+    """Documents at the centre of their group but for repeated lines, repeated words or symbols."""
+
+    def lined(text):
+        ws = text.split()
+        return "\n".join(" ".join(ws[i : i + 6]) for i in range(0, len(ws), 6))
+
+    clean = [lined(words(90 + k % 21, k)) for k in range(400)]
+    half = "\n".join(x for k in range(15) for x in (words(4, 3_000 + k), words(3, 4_000)))
+    passage = words(12, 5_000)
+    again = lined(f"{words(30, 5_001)} {passage} {words(20, 5_002)} {passage} {words(26, 5_003)}")
+    signs = lined(" ".join(w + "#" * (k % 6 == 0) for k, w in enumerate(words(100, 6_000).split())))
+    got = {r.doc_id: r for r in quality.outliers(docs(clean + [half, again, signs]), least_rows=1_000).collect()}
+    planted = [got[k] for k in range(400, 403)]
+    assert not any(r.base_failed for r in planted) and not any(r.kept for r in planted)
+    assert sum(not got[k].kept for k in range(400)) <= 8
+
+
 def test_chi_squared():
     assert abs(quality.chi2_quantile(0.975, 5) - 12.8325) < 1e-3
     assert abs(quality.chi2_below(6.6257, 5) - 0.75) < 1e-4
