@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact, licences, lines, minhash, mixing, pieces, pii, quality, token_counts, toxicity
+from sievework.llm import exact, licences, lines, minhash, mixing, pieces, pii, quality, token_counts, toxicity, whitening
 from sievework.plans.registry import literal, query
 from sievework.session import table
 
@@ -204,3 +204,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda s: s["base"])
     counts = [number(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, length = whitening.usable(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"])
+    return whitening.whiten(rows, "vec_id", whitening.fit(rows, length))
