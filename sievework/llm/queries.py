@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact, licences, lines, minhash, mixing, pieces, pii, quality, token_counts, toxicity, whitening
+from sievework.llm import exact, licences, lines, minhash, mixing, pieces, pii, quality, sharding, sketch_search, token_counts, toxicity, whitening
 from sievework.plans.registry import literal, query
 from sievework.session import table
 
@@ -206,6 +206,41 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
 
 
+@query("op11_hilbert")
+def op11_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of equal numbers of rows along a curve through source, language and size; equal texts of a cell are neighbours."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    dealt = sharding.hilbert_shards(docs, ["source", "lang", "size"], shards=16, law="rows", ties=["text_crc32", "doc_id"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+#: Terms of op12, as DuckDB finds them.
+TERM_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}'), '{TERM_SQL}') AS ws FROM documents),
+h AS (SELECT doc_id, ws, len(ws)::BIGINT AS n FROM d WHERE len(ws) > 0),
+tot AS (SELECT count(*)::BIGINT AS total_docs, sum(n)::BIGINT AS total_terms FROM h),
+tf AS (SELECT doc_id, n, word, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ws) AS word FROM h) GROUP BY ALL),
+df AS (SELECT word, count(*)::BIGINT AS df FROM tf GROUP BY word),
+q AS (SELECT item_id, word, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}'), '{TERM_SQL}')) AS word FROM benchmark) GROUP BY ALL),
+w AS (SELECT word, floor(1000 * ln((2 * total_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, tot),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total_docs) // total_terms))))::BIGINT AS score
+  FROM q JOIN w USING (word) JOIN tf USING (word), tot GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op12_max_sketches", OP12_SQL)
+def op12_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 @query("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, length = whitening.usable(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"])
