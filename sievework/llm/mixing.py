@@ -7,8 +7,9 @@ hypergeometric share, so the leaves' quotas are exact and sum up to the sources'
 permuted blocks and shuffle locally, by another keyed hash.
 
 Only totals per source and cuts reach the driver: a source is an entry of a mixture, at most ``MOST_SOURCES``. Null sources
-come last. Null and empty texts have size 0 and are drawn like others. Rows that repeat an id are drawn together.
-All hashes are keyed by the seed, so reruns agree. Further columns are ignored.
+come last. Null and empty texts have size 0 and are drawn like others. Rows that repeat an id within a source have one place
+and are drawn together, each the same number of times; rows without an id are told apart by their texts (``mark``). All hashes
+are keyed by the seed, so reruns agree. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,9 +51,10 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
     return out
 
 
-def place(id_column: Column, seed: int) -> Column:
+def place(id_column: Column, mark: Column, seed: int) -> Column:
     """A document's place in the permutation of its source: 60 bits of a keyed hash."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_column.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    name = F.coalesce(id_column.cast("string"), F.concat(F.lit("?"), mark), F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 15), 16, 10).cast("long")
 
 
 def cut_places(docs: DataFrame, wanted: dict[int, float]) -> dict[int, tuple[int, bool]]:
@@ -113,13 +115,15 @@ def shard_quotas(quotas: list[int], shards: int, leaf: int, seed: int) -> list[t
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), n_words(F.col(text_column)).alias("size"))
+    """``doc_id, source, size`` and ``mark``, a digest of the text where the id is null."""
+    mark = F.when(F.col(id_column).isNull(), F.md5(F.coalesce(F.col(text_column), F.lit(""))))
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), n_words(F.col(text_column)).alias("size"), mark.alias("mark"))
 
 
 def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2, seed: int = 17, block_words: int = 1 << 14, shard_words: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
-    """Draws and sources of a mix of documents ``doc_id, source, size``.
+    """Draws and sources of a mix of documents ``doc_id, source, size, mark`` (see ``sized``).
 
-    ``draws``: one row per copy taken, ``shard, slot, doc_id, size, copy``; ``slot`` orders a shard. ``sources``:
+    ``draws``: one row per copy taken of each row, ``shard, slot, doc_id, source, mark, size, copy``; ``slot`` orders a shard. ``sources``:
     ``source, source_size, target``. Weights repeat over the sources by code point."""
     spark = sizes.sparkSession
     totals = sizes.groupBy("source").agg(F.sum("size").alias("words"))
@@ -132,7 +136,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     wanted = targets(words, weight, share * sum(words), most)
     sources = spark.createDataFrame([(i, r.source, w, t) for i, (r, w, t) in enumerate(zip(rows, words, wanted))], "s int, source string, source_size long, target double")
 
-    numbered = sizes.join(F.broadcast(sources), sizes.source.eqNullSafe(sources.source)).select("doc_id", "s", "size", place(F.col("doc_id"), seed).alias("place"))
+    numbered = sizes.join(F.broadcast(sources), sizes.source.eqNullSafe(sources.source)).select("doc_id", "mark", "s", sizes.source, "size", place(F.col("doc_id"), F.col("mark"), seed).alias("place"))
     numbered = materialise(numbered, "mix")
     passes = [int(t // w) if w else 0 for t, w in zip(wanted, words)]
     rest = {i: t - p * w for i, (t, p, w) in enumerate(zip(wanted, passes, words))}
@@ -167,6 +171,6 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     else:
         tickets = runs.select("shard", "s", F.explode(F.sequence("low", F.col("high") - 1)).alias("ticket"))
         dealt = copies.join(tickets, ["s", "ticket"])
-    slot = F.xxhash64(F.lit(seed), "doc_id", "copy", "shard")
-    draws = dealt.select("shard", slot.alias("slot"), "doc_id", "size", "copy")
+    slot = F.xxhash64(F.lit(seed), "doc_id", "mark", "copy", "shard")
+    draws = dealt.select("shard", slot.alias("slot"), "doc_id", "source", "mark", "size", "copy")
     return draws, sources.select("source", "source_size", "target")

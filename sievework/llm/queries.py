@@ -127,18 +127,23 @@ SELECT doc_id, size, words AS source_size, target, (size * (passes + CASE WHEN m
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(table(spark, sf_dir, "documents"))
     draws, sources = mixing.mix(sizes, WEIGHTS, SHARE, MOST, SEED)
-    taken = draws.groupBy("doc_id").agg(F.sum("size").alias("taken"))
+    keys = ["doc_id", "source", "mark"]  # rows that are equal in these are drawn together: each as often as the others
+    times = draws.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg((F.max("copy") + 1).alias("times"))
     named = sources.withColumnRenamed("source", "named")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return (
         sizes.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("named")))
-        .join(taken, "doc_id", "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .join(times, same, "left")
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     )
 
 
 def _licence_sql() -> str:
     names = ", ".join(f"({literal(words)}, {literal(name)})" for name, words in licences.SENTENCES)
-    rules = ", ".join(f"CASE WHEN regexp_matches(line, {literal(licences.rule_pattern(ids))}) THEN {literal(name)} END" for name, ids in licences.RULES)
+    # an identifier is enclosed in blanks, others may stand between those of a rule
+    pattern = lambda ids: "( [^ ]+ )*".join(" " + x.replace(".", "[.]") + " " for x in ids)
+    rules = ", ".join(f"CASE WHEN regexp_matches(line, {literal(pattern(ids))}) THEN {literal(name)} END" for name, ids in licences.RULES)
+    hidden = " OR ".join(f"(x IN ({', '.join(map(literal, less))}) AND list_contains(found, {literal(name)}))" for name, less in licences.HIDES.items())
     return f"""
 WITH names(words, name) AS (VALUES {names}),
 s AS (
@@ -148,7 +153,7 @@ s AS (
 f AS (SELECT doc_id, list(name ORDER BY i) AS ids FROM s JOIN names USING (words) GROUP BY doc_id),
 l AS (SELECT *, ' ' || array_to_string(ids, '  ') || ' ' AS line FROM f),
 h AS (SELECT doc_id, ids, list_filter([{rules}], lambda x: x IS NOT NULL) AS found FROM l),
-u AS (SELECT doc_id, ids, list_filter(found, lambda x, i: list_position(found, x) = i) AS held FROM h)
+u AS (SELECT doc_id, ids, list_filter(found, lambda x, i: list_position(found, x) = i AND NOT ({hidden})) AS held FROM h)
 SELECT d.doc_id, coalesce(array_to_string(u.ids, ' '), '') AS sentence_ids, coalesce(array_to_string(u.held, ' '), '') AS licences
 FROM documents d LEFT JOIN u USING (doc_id)
 """

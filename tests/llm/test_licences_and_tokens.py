@@ -90,6 +90,25 @@ def test_wrapped_licences(docs):
     assert [r.licences for r in got] == [[], ["Proprietary"], ["MIT"]]
 
 
+def test_very_many_sentences(docs):
+    head = "Licensed under the Apache License, Version 2.0 (the License). You may not use this file except in compliance with the License.\n"
+    texts = [head + "All rights reserved.\n" * 100_000 + "You may obtain a copy of the License at\n", "All rights reserved.\n" * 3_000]
+    got = sorted(licences.licences(docs(texts)).select("doc_id", "licences", F.size("sentence_ids").alias("n")).collect(), key=lambda r: r.doc_id)
+    assert [(r.licences, r.n) for r in got] == [(["Apache-2.0", "Proprietary"], 100_003), (["Proprietary"], 3_000)]
+
+
+def test_longer_licences_hide_shorter_ones(docs):
+    two = next(t for name, t in WRAPPED if name == "BSD-2-Clause")
+    three = two + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl2 = next(t for name, t in WRAPPED if name == "GPL-3.0").replace("either version 3", "either version 2")
+    lines = ["# SPDX-License-Identifier: GPL-2.0-or-later\nimport os", "// SPDX-License-Identifier: MIT", "/* SPDX-License-Identifier: BSD-3-Clause */"]
+    got = sorted(licences.licences(docs([two, three, gpl2, *lines])).collect(), key=lambda r: r.doc_id)
+    assert [r.licences for r in got] == [["BSD-2-Clause"], ["BSD-3-Clause"], ["GPL-2.0-or-later"], ["GPL-2.0-or-later"], ["MIT"], ["BSD-3-Clause"]]
+
+
 @pytest.fixture(scope="module")
 def ranks():
     import public_tokenizers

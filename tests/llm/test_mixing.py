@@ -60,6 +60,17 @@ def test_empty_table_and_words_nowhere(docs):
     assert draws.collect() == [] and len(sources.collect()) == 2
 
 
-def test_repeated_rows_are_drawn_together(docs):
-    draws, _ = mixing.mix(mixing.sized(docs(["a b c"] * 4, [1, 1, 1, 1])))
-    assert {r.doc_id for r in draws.collect()} <= {1}
+def test_repeated_and_null_ids_get_their_own_share(docs, words):
+    from collections import Counter
+
+    texts = [words(3 + k % 9, k) for k in range(400)] + ["a b c d"] * 2 + ["e f"] * 3
+    ids = [None if k % 3 == 0 else k // 2 for k in range(400)] + [1000, 1000, None, None, None]
+    frame = docs(texts, ids)
+    sizes = mixing.sized(frame).cache()
+    draws, sources = mixing.mix(sizes, block_words=64, shard_words=1024)
+    drawn = draws.collect()
+    rows = Counter((r.doc_id, r.source, r.mark, r["size"]) for r in sizes.collect())
+    copies = Counter((r.doc_id, r.source, r.mark, r["size"], r["copy"]) for r in drawn)
+    assert all(n == rows[key[:4]] and key[4] < 2 for key, n in copies.items())  # each row once per copy, at most twice
+    for source, _, target in sources.collect():
+        assert abs(sum(r["size"] for r in drawn if r.source == source) - target) <= 22
