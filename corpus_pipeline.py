@@ -1,8 +1,10 @@
 """A corpus pipeline: toxic documents go, repeated lines go, near copies go, sources are mixed, texts become ids.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is written and read again as the next one's
-``docs``; all but the last return the columns of ``documents``. Null and empty texts pass every stage; tables without
-rows give tables without rows.
+``docs``; all but the last return the columns of ``documents`` and any further ones, whatever their names. Null and empty
+texts pass every stage; tables without rows give tables without rows. Rows that repeat an id count as one document for near
+dedup, which keeps or drops them together, and are drawn the same number of times by the mix; rows without an id are never
+dropped as copies.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ LONG_WORDS = 50
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; all others go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", toxicity.score(F.col("text"), model)).filter(F.col("_score") < TOXIC_FROM).select(docs.columns)
+    scored = docs.select(F.struct("*").alias("_doc"), toxicity.score(F.col("text"), model).alias("_score"))
+    return scored.filter(F.col("_score") < TOXIC_FROM).select("_doc.*")
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +45,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, dealt to its shards and shuffled within each."""
+    keys = ["doc_id", "source", "mark"]
     draws, _ = mixing.mix(mixing.sized(docs), WEIGHTS, SHARE, MOST, SEED)
-    drawn = docs.join(draws.select("doc_id", "shard", "slot").withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return drawn.repartition("shard").sortWithinPartitions("shard", "slot").select(docs.columns)
+    draws = draws.select(*[F.col(k).alias(f"_{k}") for k in keys], "copy", "shard", "slot").distinct()  # rows with one place are drawn together
+    mark = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit(""))))
+    own = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", mark.alias("mark"))
+    drawn = own.join(draws, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return drawn.repartition("shard").sortWithinPartitions("shard", "slot").select("_doc.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

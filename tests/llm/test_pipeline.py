@@ -65,6 +65,18 @@ def test_shared_passages_stay_in_the_first_document(spark, docs, words):
     assert got == {0: texts[0]} | {k: "\n".join(t.split("\n")[:1] + t.split("\n")[2:]) for k, t in enumerate(texts) if k}
 
 
+def test_repeated_ids_and_clashing_columns(spark, docs, words):
+    from pyspark.sql import functions as F
+
+    texts = [words(30, k) for k in range(60)] + [words(20, 99), words(20, 98), None]
+    frame = docs(texts, [*range(60), 7, 7, None]).withColumns({c: F.lit(5) for c in ("_score", "shard", "slot", "copy", "mark", "_doc_id", "size", "s")})
+    drawn = corpus_pipeline.mixed(spark, frame, "")
+    assert drawn.columns == frame.columns
+    rows = drawn.collect()
+    per_text = {t: sum(r.text == t for r in rows if r.doc_id == 7 and r.source == "a") for t in (texts[7], texts[60], texts[61])}
+    assert max(per_text.values()) <= 2 and {r.shard for r in rows} == {5}
+
+
 def test_no_rows(spark, docs, tmp_path):
     folder = str(tmp_path)
     docs([]).write.parquet(f"{folder}/documents.parquet")
