@@ -70,6 +70,7 @@ class PieceModel:
         self.pairs: list[dict[int, bool]] = [{} for _ in self.pieces]
         self.n_pairs = 0
         self.words = _Words(self, {})
+        self.signs = {c: array("i", [self.id_of[c]]).tobytes() for c in self.known}
         self.surface = [p.replace(SPACE, " ") for p in self.pieces]
         for i in silent:
             self.surface[i] = ""
@@ -247,15 +248,15 @@ class _Words(dict):
     def _new(self, word: str) -> bytes:
         model = self.model
         if word[:1] != "\n":
-            part, inner = SPACE + word, model.inner
-            if part[-2:] in inner:
-                if all(map(inner.__contains__, map(add, part, part[1:]))):  # no cut: the word is looked at as a whole
-                    return array("i", model._laid(part)).tobytes()
-            elif len(part) > 2 and part[-1] in model.known and all(map(inner.__contains__, map(add, part[:-1], part[1:-1]))):
-                head = self.get(word[:-1])  # one sign after a word
-                if head is None:
+            part, known = SPACE + word, model.known
+            if len(part) > 2 and part[-1] in known and part[-2:] not in model.inner:  # one sign after a word
+                head = self.get(word[:-1])
+                if head is None and known.issuperset(part):
                     head = self.keep(word[:-1], array("i", model._laid(part[:-1])).tobytes())
-                return head + model._uncut(part[-1])
+                if head is not None:
+                    return head + model.signs[part[-1]]
+            elif known.issuperset(part):  # the word is looked at as a whole
+                return array("i", model._laid(part)).tobytes()
         return model._part(word if word[:1] == "\n" else SPACE + word)
 
     def keep(self, word: str, ids: bytes) -> bytes:
