@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .automaton import contained
 from .ranking import first_by
 
 SALTS = 32
@@ -83,9 +84,14 @@ def _grams(col: Column, size: int) -> Column:
 def words_containing(needles: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """All (needle, word) with ``word`` containing ``needle``; both inputs hold distinct strings.
 
-    Needles of 1 and 2 characters meet words on the needle itself, longer ones on their rarest
+    A bounded number of needles is found by one scan. Beyond that, needles of 1 and 2 characters meet words on the needle itself, longer ones on their rarest
     three-character gram.
     """
+    scanned = contained(
+        needles.select(F.col("needle").alias("nid"), "needle"), vocabulary.select(F.col("word").alias("tid"), F.col("word").alias("text"))
+    )
+    if scanned is not None:
+        return scanned.select(F.col("nid").alias("needle"), F.col("tid").alias("word"))
     word = F.col("word")
     few = vocabulary.select("word", F.explode(F.concat(_grams(word, 1), _grams(word, 2))).alias("needle"))
     short = few.join(needles.filter(F.length("needle").between(1, GRAM - 1)), "needle").select("needle", "word")
@@ -131,11 +137,15 @@ def phrase_pairs(
     """All (nid, tid) whose text contains the needle.
 
     ``needles(nid, needle)`` and ``texts(tid, text)`` hold normalised strings; ``index`` is the word
-    index of ``texts`` when the caller has one. Inside a needle of three or more words the inner
+    index of ``texts`` when the caller has one. A bounded number of needles is found by one scan of the texts.
+    Beyond that, candidates come from words: inside a needle of three or more words the inner
     words must be whole words of the text; shorter needles meet the text through the words that
     contain their longest word. With ``whole_words`` the needle must be made of whole words, so
     any of its words can serve as key. Verification reads whole texts.
     """
+    scanned = contained(needles, texts, whole_words)
+    if scanned is not None:
+        return scanned
     if index is None:
         index = WordIndex.build(texts, "tid", "text")
     needles = materialise(needles.filter(F.length("needle") > 0).select("nid", "needle"), "needles")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import norm, word_bounded_at_first, words
 from ..session import materialise
-from .containment import WordIndex, hot_keys, phrase_pairs, postings, skew_join, words_containing, words_within
+from .containment import WordIndex, phrase_pairs, postings, words_containing, words_within
 from .lookup import near_words
 from .ranking import top_k
+from .termscan import bm25_top_k, query_blocks, scan_top_k
 
 
 def build_postings(corpus: DataFrame, min_len: int = 2) -> DataFrame:
@@ -84,32 +86,25 @@ def keyword_search(
     ``item_boost`` when they already score. A name containing the whole query scores
     ``phrase_boost`` even without any word hit.
 
-    The vocabulary is searched once per distinct term; from there on terms are numbers, and the
-    points of a (query, document) pair are partly summed before the only wide shuffle."""
-    index = WordIndex.build(corpus.select("id", norm(F.col("text")).alias("text")), "id", "text", 2)
-    if dictionary is None:
-        expanded = postings(queries.select("qid", norm(F.col("text")).alias("text")), "qid", "text", 2)
+    Queries are taken in blocks of bounded size, each with one scan of the corpus (see ``termscan``): nothing but the best
+    of each task is shuffled, and no pair of a query and a document is ever listed."""
+    texts = queries.select("qid", norm(F.col("text")).alias("text"))
+    expanded = postings(texts, "qid", "text", 2) if dictionary is None else expand_queries(queries, dictionary)
+    listed = expanded.groupBy("qid").agg(F.collect_set("word").alias("words"))
+    docs = corpus.select("id", norm(F.col("name")).alias("name"), norm(F.col("text")).alias("text"))
+    if boosted is None:
+        docs = docs.withColumn("bonus", F.lit(0))
     else:
-        expanded = expand_queries(queries, dictionary)
-    expanded = materialise(expanded, "expanded")
-    terms = materialise(expanded.select("word").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms")
-    asked = materialise(expanded.join(terms, "word").select("qid", "tid"), "asked")
-    weights = term_weights(terms.select("word"), index, min_len=min_len)
-    numbered = weights.join(terms.withColumnRenamed("word", "term"), "term").select("tid", "word", "w")
-    by_word = (
-        index.lookup(numbered, "id").select("id", "tid", "w").join(asked, "tid").groupBy("qid", "id").agg(F.sum("w").alias("points"))
-    )
-    phrases = phrase_pairs(
-        queries.select(F.col("qid").alias("nid"), norm(F.col("text")).alias("needle")),
-        corpus.select(F.col("id").alias("tid"), norm(F.col("name")).alias("text")),
-    ).select(F.col("nid").alias("qid"), F.col("tid").alias("id"), F.lit(phrase_boost).cast("long").alias("points"))
-    scored = by_word.unionByName(phrases).groupBy("qid", "id").agg(F.sum("points").alias("score"))
-    if boosted is not None:
-        flag = boosted.select("id").distinct().withColumn("_b", F.lit(item_boost))
-        scored = scored.join(flag, "id", "left").select(
-            "qid", "id", (F.col("score") + F.coalesce("_b", F.lit(0))).alias("score")
-        )
-    return top_k(scored, ["qid"], [F.desc("score"), F.asc("id")], k)
+        docs = docs.join(boosted.select("id").distinct().withColumn("bonus", F.lit(item_boost)), "id", "left")
+    hits = None
+    for rows, named in query_blocks(texts.join(listed, "qid", "left")):
+        terms: dict[str, list[int]] = {}
+        for number, r in enumerate(rows):
+            for word in r.words or []:
+                terms.setdefault(word, []).append(number)
+        part = named(scan_top_k(docs, terms, [r.text for r in rows], k, 3, 1, min_len, phrase_boost))
+        hits = part if hits is None else hits.unionByName(part)
+    return top_k(hits, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
 def bm25_statistics(corpus: DataFrame, tokens: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -128,25 +123,18 @@ def bm25_statistics(corpus: DataFrame, tokens: Column | None = None) -> tuple[Da
     return tf, df, totals
 
 
-def _bm25(terms: DataFrame, tf: DataFrame, df: DataFrame, n: int, avgdl: float, k1: float, b: float, hot: list) -> DataFrame:
-    asked = terms.join(df, "word").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    share = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    return (
-        skew_join(tf, asked.select("word", "qid", "idf"), "word", F.col("id"), hot)
-        .groupBy("qid", "id")
-        .agg(F.sum(share).alias("score"))
-    )
-
-
 def bm25_search(
     queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """(qid, id, stage, score, rank). A query without any hit is retried with its special characters
     stripped, then with every token of three or more characters replaced by the vocabulary words
-    at edit distance one or less."""
-    tf, df, totals = bm25_statistics(corpus)
-    n, avgdl = totals.first()
-    hot = hot_keys(df, "word", "df")
+    at edit distance one or less. Scores are equal if they are to nine decimals.
+
+    Each stage counts the documents of its queries' words and then scans the corpus once per block of queries: the
+    postings of common words are not listed, and only the best of each task are shuffled."""
+    listed = materialise(corpus.select("id", F.filter(words(norm(F.col("text"))), lambda w: w != "").alias("w")), "tokens")
+    n, avgdl = listed.agg(F.count("*"), F.avg(F.size("w"))).first()
+    held = listed.select(F.explode(F.array_distinct("w")).alias("word"))
     asked = queries.filter(F.length(F.trim("text")) >= 2)
 
     def terms_of(rows: DataFrame, text: Column) -> DataFrame:
@@ -155,8 +143,19 @@ def bm25_search(
         )
 
     def scored(terms: DataFrame, stage: str) -> DataFrame:
-        hits = _bm25(terms, tf, df, n, avgdl, k1, b, hot).withColumn("stage", F.lit(stage))
-        return materialise(top_k(hits, ["qid"], [F.desc("score"), F.asc("id")], k), "bm25")
+        terms = materialise(terms, "terms")
+        df = held.join(terms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weighed = terms.join(df, "word").select("qid", F.struct("word", idf.alias("idf")).alias("pair"))
+        hits = None
+        for rows, named in query_blocks(weighed.groupBy("qid").agg(F.collect_list("pair").alias("pairs")).withColumn("words", F.col("pairs.word"))):
+            weights: dict[str, list[tuple[int, float]]] = {}
+            for number, r in enumerate(rows):
+                for word, weight in r.pairs:
+                    weights.setdefault(word, []).append((number, weight))
+            part = named(bm25_top_k(listed, weights, len(rows), k, k1, b, avgdl or 1.0))
+            hits = part if hits is None else hits.unionByName(part)
+        return materialise(top_k(hits.withColumn("stage", F.lit(stage)), ["qid"], [F.desc("score"), F.asc("id")], k).select("qid", "id", "stage", "score", "rank"), "bm25")
 
     def unanswered(rows: DataFrame, hits: DataFrame) -> DataFrame:
         return rows.join(hits.select("qid").distinct(), "qid", "left_anti")
@@ -168,7 +167,7 @@ def bm25_search(
     stripped_text = F.regexp_replace("text", r"[^a-zA-Z0-9\s]", " ")
     stripped = scored(terms_of(left, stripped_text), "stripped")
     missed = terms_of(unanswered(left, stripped), F.col("text")).filter(F.length("word") >= 3)
-    near = near_words(missed.select("word").distinct(), df.select("word"))
+    near = near_words(missed.select("word").distinct(), held.distinct())
     fuzzy = scored(missed.join(near, "word").select("qid", F.col("near").alias("word")).distinct(), "fuzzy")
     return found.unionByName(stripped).unionByName(fuzzy)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import cards, catalogue, concepts, consensus, lexical, lookup, titles, vector
+from sievework.operators import automaton, cards, catalogue, concepts, consensus, lexical, lookup, termscan, titles, vector
 from sievework.operators.containment import phrase_pairs, skew_join, words_containing, words_within
 from sievework.operators.ranking import full_row_number, next_value
 
@@ -19,7 +19,17 @@ def words():
     return sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 7))) for _ in range(120)} | {"x" * 70, "ab" * 40})
 
 
-def test_words_containing(spark, words):
+@pytest.fixture(params=["automaton", "split automaton", "joins"])
+def way(request, monkeypatch):
+    """Dictionaries of any size: one scan, several scans, or the joins beyond them."""
+    if request.param == "split automaton":
+        monkeypatch.setattr(automaton, "MOST_CHARS", 40)
+        monkeypatch.setattr(automaton, "MOST_SCANS", 1000)
+    elif request.param == "joins":
+        monkeypatch.setattr(automaton, "MOST_SCANS", 0)
+
+
+def test_words_containing(spark, words, way):
     needles = words[::3] + ["a", "ab", "zz"]
     got = rows(words_containing(spark.createDataFrame([(w,) for w in set(needles)], "needle string"), spark.createDataFrame([(w,) for w in words], "word string")), "needle", "word")
     assert got == sorted((n, w) for n in set(needles) for w in words if n in w)
@@ -32,7 +42,7 @@ def test_words_within(spark, words):
 
 
 @pytest.mark.parametrize("whole", [False, True])
-def test_phrase_pairs(spark, whole):
+def test_phrase_pairs(spark, whole, way):
     rnd = random.Random(9)
 
     def text(n):
@@ -111,6 +121,79 @@ def test_keyword_search_phrase_and_boost(spark):
     assert got == [(1, 1, 18), (1, 2, 18), (2, 3, 17)]
 
 
+def test_dictionary_scan_of_nulls_and_ties(spark):
+    needles = spark.createDataFrame([(1, "a"), (2, "a"), (3, ""), (4, None), (5, "b c")], "nid int, needle string")
+    texts = spark.createDataFrame([("x", "aa b c"), ("y", None), ("z", ""), ("x", "b  c a")], "tid string, text string")
+    assert rows(automaton.contained(needles, texts), "nid", "tid") == [(1, "x"), (1, "x"), (2, "x"), (2, "x"), (5, "x")]
+    assert rows(automaton.contained(needles, texts, True), "nid", "tid") == [(1, "x"), (2, "x"), (5, "x")]
+    assert automaton.contained(needles.filter("nid > 9"), texts).collect() == []
+
+
+def brute_keyword(docs, queries, k, boosted):
+    out = []
+    for q, text in queries:
+        terms = {w for w in text.split(" ") if len(w) >= 2}
+        scored = []
+        for d, name in docs:
+            words = {w for w in name.split(" ") if len(w) >= 2}
+            score = sum(3 if w == t else 1 for w in words for t in terms if w in t or t in w) + 15 * (text in name)
+            if score:
+                scored.append((-score - 2 * (d in boosted), d))
+        out += [(q, d, -s, r + 1) for r, (s, d) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_keyword_search_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(termscan, "QUERY_BLOCK", block)
+    monkeypatch.setattr(termscan, "KEPT_WORDS", 5)
+    monkeypatch.setattr(termscan, "SLICE", 7)
+    rnd = random.Random(6)
+
+    def text(n):
+        return " ".join("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(n))
+
+    docs = [(k, text(rnd.randint(1, 12))) for k in range(90)]
+    docs += [(200 + k, docs[3][1]) for k in range(20)]
+    queries = [(k, text(rnd.randint(1, 4))) for k in range(10)] + [(10, docs[3][1]), (11, "zz"), (12, "a")]
+    corpus = spark.createDataFrame([(d, n, n) for d, n in docs], "id int, name string, text string").repartition(4)
+    flag = spark.createDataFrame([(d,) for d in range(0, 300, 7)], "id int")
+    got = rows(lexical.keyword_search(spark.createDataFrame(queries, "qid int, text string"), corpus, boosted=flag, k=5), "qid", "id", "score", "rank")
+    assert got == brute_keyword(docs, queries, 5, set(range(0, 300, 7)))
+
+
+def test_searches_of_nothing_and_of_documents(spark, monkeypatch):
+    corpus = spark.createDataFrame([(1, "alpha", "alpha")], "id int, name string, text string")
+    none = spark.createDataFrame([], "qid int, text string")
+    assert lexical.keyword_search(none, corpus).collect() == lexical.bm25_search(none, corpus).collect() == []
+    one = spark.createDataFrame([(1, "alpha"), (2, None)], "qid int, text string")
+    assert lexical.keyword_search(one, corpus.filter("id > 1")).collect() == lexical.bm25_search(one, corpus.filter("id > 1")).collect() == []
+    monkeypatch.setattr(termscan, "QUERY_CHARS", 3)
+    with pytest.raises(ValueError):
+        lexical.keyword_search(one, corpus)
+
+
+def test_bm25_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(termscan, "QUERY_BLOCK", 4)
+    rnd = random.Random(7)
+    docs = [(k, " ".join(rnd.choice(["aa", "bb", "cc", "dd", f"w{k % 13}"]) for _ in range(rnd.randint(1, 30)))) for k in range(80)]
+    docs += [(200 + k, docs[0][1]) for k in range(12)]
+    queries = [(k, " ".join(rnd.sample(["aa", "bb", "cc", "dd", "w1", "w5", "nowhere"], 3))) for k in range(9)]
+    n, avgdl = len(docs), sum(len(t.split()) for _, t in docs) / len(docs)
+    df = {w: sum(w in t.split() for _, t in docs) for w in {w for _, t in docs for w in t.split()}}
+    want = []
+    for q, text in queries:
+        scored = []
+        for d, t in docs:
+            w = t.split()
+            s = sum(np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / avgdl)) for x in set(text.split()) if x in w)
+            if s:
+                scored.append((-round(s, 9), d))
+        want += [(q, d, r + 1) for r, (_, d) in enumerate(sorted(scored)[:10])]
+    got = lexical.bm25_search(spark.createDataFrame(queries, "qid int, text string"), spark.createDataFrame(docs, "id int, text string").repartition(3))
+    assert rows(got, "qid", "id", "rank") == sorted(want)
+
+
 def test_bm25_fuzzy_retry(spark):
     corpus = spark.createDataFrame([(1, "vertebra fracture"), (2, "knee pain")], "id int, text string")
     q = spark.createDataFrame([(1, "knee"), (2, "fractura"), (3, "(knee)")], "qid int, text string")
