@@ -3,6 +3,9 @@
 The corpus is cut into cells around a bounded set of pivot vectors. The triangle inequality gives
 every query a bound on its k-th distance and the cells that can hold a closer vector; only those are
 visited, as blocks of bounded size, and each block returns its k best. No pair leaves a task.
+
+The approximate form is an inverted file: more and smaller cells, of which a query visits the nearest ``share`` only;
+what it finds there is ranked by exact similarity.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from ..session import materialise
 from .ranking import top_k
 
 MAX_PIVOTS = 512
+#: Share of the cells that the approximate form visits.
+SHARE = 0.65
 BLOCK_ROWS = 4096
 
 
@@ -38,16 +43,19 @@ def _distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (rows @ others.T)))
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, skip_self: bool = False) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, skip_self: bool = False, method: str = "exact", share: float = SHARE) -> DataFrame:
     """(qid, id, score, rank) by cosine similarity; ties by id. ``queries(qid, vector)``,
-    ``corpus(id, vector)``; ``skip_self`` leaves out the corpus row with the query's own id."""
+    ``corpus(id, vector)``; ``skip_self`` leaves out the corpus row with the query's own id. ``method`` "cells" is the
+    approximate form."""
+    if method not in ("exact", "cells"):
+        raise ValueError(f"no method {method}")
     c = materialise(corpus.select("id", l2_normalise(F.col("vector")).alias("v")), "vectors")
     q = materialise(queries.select("qid", l2_normalise(F.col("vector")).alias("v")), "query-vectors")
     n_corpus, n_queries = c.count(), q.count()
     if n_corpus == 0 or n_queries == 0:
         return q.select("qid").limit(0).selectExpr("qid", "cast(null as bigint) id", "0D score", "0 rank")
     wanted = k + 1 if skip_self else k
-    n_pivots = int(min(MAX_PIVOTS, max(1, n_corpus // 512)))
+    n_pivots = int(min(MAX_PIVOTS, max(1, n_corpus // (512 if method == "exact" else 32))))
     picked = c.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()  # at most MAX_PIVOTS rows
     pivots = np.array([r.v for r in picked], dtype=np.float64)
     id_type = dict(c.dtypes)["id"]
@@ -77,11 +85,16 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, skip_self: b
     def visits(batches):
         for pdf in batches:
             d = _distances(np.stack(pdf["v"].to_numpy()), pivots)
-            upper = d[:, known_cell] + known_reach
-            at = min(wanted, upper.shape[1]) - 1
-            bound = np.partition(upper, at, axis=1)[:, at]
-            reachable = (radius >= 0) & (d - radius <= bound[:, None] + eps)
-            row, cell = np.nonzero(reachable)
+            if method == "cells":
+                filled = np.flatnonzero(radius >= 0)
+                probes = max(1, int(np.ceil(share * len(filled))))
+                row = np.repeat(np.arange(len(d)), probes)
+                cell = filled[np.argsort(d[:, filled], axis=1)[:, :probes]].ravel()
+            else:
+                upper = d[:, known_cell] + known_reach
+                at = min(wanted, upper.shape[1]) - 1
+                bound = np.partition(upper, at, axis=1)[:, at]
+                row, cell = np.nonzero((radius >= 0) & (d - radius <= bound[:, None] + eps))
             yield pd.DataFrame(
                 {"qid": pdf["qid"].to_numpy()[row], "v": [pdf["v"].iat[i] for i in row], "cell": cell.astype("int32")}
             )

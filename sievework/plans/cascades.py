@@ -71,8 +71,8 @@ def autocomplete(spark, sf):
 
 GLOSS = (
     "gd AS (SELECT min(page_id) AS seq, key, min(title) AS term FROM (SELECT page_id, lower(regexp_extract(html, '<a href=\"/([^\"]+)\">', 1)) AS key, "
-    "regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) WHERE length(key) >= 6 GROUP BY key), "
-    f"gs AS (SELECT min(page_id) AS seq, lower({HOST}) AS key, min(url) AS term FROM pages WHERE length({HOST}) >= 2 GROUP BY 2)"
+    "regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) WHERE length(key) >= 1 GROUP BY key), "
+    f"gs AS (SELECT min(page_id) AS seq, lower({HOST}) AS key, min(url) AS term FROM pages WHERE length({HOST}) >= 1 GROUP BY 2)"
 )
 
 
@@ -88,8 +88,8 @@ def glossary_lookup(spark, sf):
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("term"), "url",
         F.lower(F.regexp_extract("url", r"//(m\.|www\.)?([^./]+)\.", 2)).alias("host"),
     )
-    definitions = p.filter(F.length("key") >= 6).groupBy("key").agg(F.min("seq").alias("seq"), F.min("term").alias("term"))
-    symptoms = p.filter(F.length("host") >= 2).groupBy(F.col("host").alias("key")).agg(F.min("seq").alias("seq"), F.min("url").alias("term"))
+    definitions = p.filter(F.length("key") >= 1).groupBy("key").agg(F.min("seq").alias("seq"), F.min("term").alias("term"))
+    symptoms = p.filter(F.length("host") >= 1).groupBy(F.col("host").alias("key")).agg(F.min("seq").alias("seq"), F.min("url").alias("term"))
     docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "text"))
     return qs.glossary_lookup(docs, definitions, symptoms)
 

@@ -19,7 +19,7 @@ BASE = (
     "' der ') OR contains(text, ' die ') THEN 'de' WHEN contains(text, ' les ') OR contains(text, ' le ') THEN 'fr' ELSE 'es' END AS "
     "region FROM benchmark), "
     "kw AS (SELECT DISTINCT concept_id, keyword, CASE WHEN length(keyword) >= 13 THEN 'neg' ELSE 'pos' END AS kind FROM (SELECT item_id "
-    "AS concept_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS keyword FROM benchmark) WHERE length(keyword) >= 7), "
+    "AS concept_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS keyword FROM benchmark) WHERE length(keyword) >= 1), "
     "seeds AS (SELECT item_id AS concept_id, doc_id AS id, CASE WHEN l.quality = 1 THEN 0.9 END AS rel FROM benchmark b JOIN documents d "
     "ON contains(d.text, b.text) LEFT JOIN labels l USING (doc_id)), "
     "corpus AS (SELECT doc_id AS id, text AS name, lang AS region FROM documents)"
@@ -50,7 +50,7 @@ def concept_tables(spark, sf):
     b = table(spark, sf, "benchmark").withColumnRenamed("item_id", "concept_id")
     region = F.when(has(" the ", " of "), "en").when(has(" der ", " die "), "de").when(has(" les ", " le "), "fr").otherwise("es")
     concepts = b.select("concept_id", region.alias("region"))
-    words = b.select("concept_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("keyword")).filter(F.length("keyword") >= 7)
+    words = b.select("concept_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("keyword")).filter(F.length("keyword") >= 1)
     kind = F.when(F.length("keyword") >= 13, "neg").otherwise("pos")
     keywords = words.withColumn("kind", kind).distinct()
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("tid"), "text")

@@ -45,6 +45,14 @@ def vector_topk(spark, sf):
     return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vector_topk_cells")
+def vector_topk_cells(spark, sf):
+    """The approximate form on the queries of ``vector_topk``, for the recall against it."""
+    v = vectors(spark, sf)
+    hits = vector.vector_topk(v.withColumnRenamed("id", "qid"), v, 10, skip_self=True, method="cells")
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def _pairs_sql() -> str:
     def has(c, p):
         return f"(contains({c}, {literal(p[0])}) OR contains({c}, {literal(p[1])}))"

@@ -217,6 +217,18 @@ def test_vector_topk_exact(spark, monkeypatch):
         assert abs(np.sort(sims[r.qid])[::-1][r["rank"] - 1] - r.score) < 1e-9
 
 
+def test_vector_topk_cells_recall(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 256)
+    folder = "/root/testdata/sf0.1/embeddings.parquet"
+    v = spark.read.parquet(folder).selectExpr("vec_id as id", "embedding as vector")
+    q = v.filter("id % 20 = 0").withColumnRenamed("id", "qid")
+    exact, near = (rows(vector.vector_topk(q, v, 10, True, m), "qid", "id") for m in ("exact", "cells"))
+    assert len(exact) == len(near) == 1000
+    assert len(set(exact) & set(near)) >= 900
+    with pytest.raises(ValueError):
+        vector.vector_topk(q, v, method="hash")
+
+
 def test_greedy_duplicates(spark):
     rnd = random.Random(2)
     data = [(rnd.choice("gh"), "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))), i) for i in range(150)]
