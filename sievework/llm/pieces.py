@@ -357,7 +357,9 @@ def _by_slices(run, model: PieceModel, rows: pa.Array, sizes: pa.Array, kind: pa
         return pa.array([], kind)
     slice_of = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(rows)]
-    return pa.concat_arrays([run(model, rows[a:b]) for a, b in zip(cuts, cuts[1:])])
+    done = pa.concat_arrays([run(model, rows[a:b]) for a, b in zip(cuts, cuts[1:])])
+    pa.default_memory_pool().release_unused()  # workers live on and share an executor's memory with later stages
+    return done
 
 
 def encode(text: Column, model_file: str) -> Column:
