@@ -15,7 +15,6 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
-from operator import add
 
 import numpy as np
 import pyarrow as pa

@@ -71,8 +71,9 @@ class Lexicons:
             if v is not None:
                 bits |= 1 << v
         at = 1 + WORD_VOTERS + PREFIX_VOTERS
-        upper = sum(map(str.isupper, text.split()[:200])) if words else 0
-        bits |= (upper > 20) << at
+        spaced = text.split() if words else []
+        upper = sum(map(str.isupper, spaced))
+        bits |= (upper > 20 and 10 * upper > len(spaced)) << at  # of all words of the text
         bits |= bool(SHOUT.search(text)) << (at + 1)
         bits |= bool(MASKED.search(text)) << (at + 2)
         bits |= (len(words) < 6) << (at + 3)

@@ -59,3 +59,9 @@ def test_no_rows_and_no_toxic_rows(spark, docs):
     assert model.classifier.score("some text") < 0.3
     model = toxicity.fit(docs(["a b", None, "c"]), spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic int"))
     assert model.classifier.score("") < 0.3
+
+
+def test_shouting_counts_the_whole_text():
+    lexicons = toxicity.lexicons([])
+    late, rare = "word " * 300 + "LOUD " * 60, "word " * 3000 + "LOUD " * 60
+    assert lexicons.votes(late) != lexicons.votes("word " * 360) == lexicons.votes(rare)
