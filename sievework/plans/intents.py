@@ -52,13 +52,21 @@ def _class_sql(classes):
     return label, f"CASE WHEN {top} = 0 THEN 0.5 ELSE least(0.95, 0.6 + {top} * 0.1) END"
 
 
-PH, PHC = _class_sql(RULES["phases"])
-UR, URC = _class_sql(RULES["urgencies"])
-SHORT = f"(regexp_matches(q, {literal(RULES['acute'])}) AND NOT regexp_matches(q, {literal(RULES['followed'])}))"
+def phase_of(rules, part):
+    """A part of the rule intent of ``q``: phase, urgency, their confidences or the source."""
+    short = f"(regexp_matches(q, {literal(rules['acute'])}) AND NOT regexp_matches(q, {literal(rules['followed'])}))"
+    phase, phase_conf = _class_sql(rules["phases"])
+    urgency, urgency_conf = _class_sql(rules["urgencies"])
+    acute, plain = {
+        "phase": ("'initial'", phase), "phase_confidence": ("0.85", phase_conf), "urgency": ("'acute'", urgency), "urgency_confidence": ("0.9", urgency_conf),
+        "source": ("'rules-acute-condition'", "'rules'"),
+    }[part]
+    return f"CASE WHEN {short} THEN {acute} ELSE {plain} END"
+
+
 RULE_SQL = (
-    f"ru AS (SELECT qid, q, CASE WHEN {SHORT} THEN 'initial' ELSE {PH} END AS phase, CASE WHEN {SHORT} THEN 'acute' ELSE {UR} END AS "
-    f"urgency, CASE WHEN {SHORT} THEN 0.85 ELSE {PHC} END AS pc, CASE WHEN {SHORT} THEN 0.9 ELSE {URC} END AS uc, CASE WHEN {SHORT} "
-    "THEN 'rules-acute-condition' ELSE 'rules' END AS source FROM (SELECT qid, lower(text) AS q FROM l))"
+    f"ru AS (SELECT qid, q, {phase_of(RULES, 'phase')} AS phase, {phase_of(RULES, 'urgency')} AS urgency, {phase_of(RULES, 'phase_confidence')} AS pc, "
+    f"{phase_of(RULES, 'urgency_confidence')} AS uc, {phase_of(RULES, 'source')} AS source FROM (SELECT qid, lower(text) AS q FROM l))"
 )
 COND_SQL = (
     values_sql("cond", "seq, name, cu", [(i, n, u) for i, (n, u) in enumerate(CONDITIONS)])
@@ -177,7 +185,7 @@ NAME_PHASES = [("surveillance", ["old", "ring"]), ("treatment", ["plate"]), ("in
 NAME_URGENCIES = [("acute", ["hot", "urgent"]), ("chronic", ["old"]), ("routine", ["low", "small", "large"])]
 
 
-def _name_sql(x, classes):
+def name_sql(x, classes):
     return "CASE " + " ".join(
         "WHEN " + " OR ".join(f"contains(lower({x}), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in classes
     ) + " ELSE 'unknown' END"
@@ -185,8 +193,8 @@ def _name_sql(x, classes):
 
 @query(
     "intent_reranked",
-    sql=MERGED + f", it AS (SELECT qid AS id, l_orderkey, text AS name, {_name_sql('text', NAME_PHASES)} AS ip, "
-    f"{_name_sql('text', NAME_URGENCIES)} AS iu, qid % 16 AS ln FROM l JOIN (SELECT DISTINCT l_orderkey, l_orderkey * 16 + l_linenumber "
+    sql=MERGED + f", it AS (SELECT qid AS id, l_orderkey, text AS name, {name_sql('text', NAME_PHASES)} AS ip, "
+    f"{name_sql('text', NAME_URGENCIES)} AS iu, qid % 16 AS ln FROM l JOIN (SELECT DISTINCT l_orderkey, l_orderkey * 16 + l_linenumber "
     "AS qid FROM lineitem) USING (qid)), "
     "qs AS (SELECT l_orderkey AS oq, arg_min(qid, qid) AS first FROM it JOIN res ON res.qid = it.id GROUP BY 1), "
     "hits AS (SELECT oq AS qid, it.id, it.ip, it.iu, 1.0 + it.id % 7 AS score, CAST(it.ln AS INTEGER) AS rk, r.phase, r.urgency, "

@@ -149,10 +149,7 @@ def bm25_search(spark, sf):
     return hits.select("qid", "id", "stage", F.round("score", 6).alias("score"), "rank")
 
 
-@query(
-    "name_search",
-    sql=f"WITH q0 AS (SELECT 'item ' || item_id AS qid, {norm_sql('text')} AS q FROM benchmark UNION ALL SELECT 'page ' || page_id, "
-    f"{norm_sql(HOST)} FROM pages), "
+NAMES = (
     "qq AS (SELECT * FROM (SELECT qid, q, list_filter(string_split(q, ' '), lambda x: length(x) >= 2) AS toks FROM q0 "
     "WHERE length(q) >= 3) WHERE len(toks) > 0), "
     f"c AS (SELECT doc_id AS id, {norm_sql('text')} AS name, {norm_sql("source || ' ' || lang")} AS kw FROM documents), "
@@ -164,7 +161,15 @@ def bm25_search(spark, sf):
     "THEN 15 + inn * 4 ELSE 0 END AS ns, CASE WHEN contains(kw, q) THEN CASE WHEN contains(' ' || kw || ' ', ' ' || q || ' ') "
     "THEN 45 ELSE 0 END WHEN nt >= 2 AND ink = nt THEN 25 + ink * 3 ELSE 0 END AS ks, kw FROM p), "
     "f AS (SELECT qid, id, length(name) AS nl, CASE WHEN ns < 30 AND kw <> '' THEN greatest(ns, ks) ELSE ns END AS sc FROM s), "
-    "g AS (SELECT qid, id, nl, sc - least(15, nl // 20) AS score FROM f WHERE sc > 0) "
+    "g AS (SELECT qid, id, nl, sc - least(15, nl // 20) AS score FROM f WHERE sc > 0)"
+)
+
+
+@query(
+    "name_search",
+    sql=f"WITH q0 AS (SELECT 'item ' || item_id AS qid, {norm_sql('text')} AS q FROM benchmark UNION ALL SELECT 'page ' || page_id, "
+    f"{norm_sql(HOST)} FROM pages), "
+    f"{NAMES} "
     "SELECT qid, id, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER "
     "(PARTITION BY qid ORDER BY score DESC, nl, id) AS rank FROM g) WHERE rank <= 8",
 )

@@ -53,7 +53,7 @@ def vector_topk_cells(spark, sf):
     return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def _pairs_sql() -> str:
+def pairs_sql() -> str:
     def has(c, p):
         return f"(contains({c}, {literal(p[0])}) OR contains({c}, {literal(p[1])}))"
 
@@ -67,7 +67,7 @@ LEX = (
     "p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS vr FROM s QUALIFY vr <= 32), "
     "l AS (SELECT qid, id, sim, vr, tanh((list_sum(list_prepend(0, list_transform(list_filter(string_split(q, ' '), lambda t: "
     "length(t) >= 3), lambda t: CASE WHEN contains(name, t) THEN 2 WHEN kw <> '' AND contains(kw, t) THEN 1 ELSE 0 END))) + "
-    f"{_pairs_sql()}) / 4.0) AS lex FROM p), "
+    f"{pairs_sql()}) / 4.0) AS lex FROM p), "
     "f AS (SELECT *, sim + 0.05 * lex AS fused, row_number() OVER (PARTITION BY qid ORDER BY sim + 0.05 * lex DESC, vr) AS rank "
     "FROM l) "
 )
