@@ -219,3 +219,11 @@ def lead_sentences(col: Column, sentences: int = 2, limit: int = 250) -> Column:
 def embedded_json(col: Column) -> Column:
     """Widest {...} span of a reply, '' when there is none."""
     return F.regexp_extract(col, r"(?s)(\{.*\})", 1)
+
+
+def canonical_name(col: Column, wordings: list[tuple[str, str]], parts: list[tuple[str, str]]) -> Column:
+    """Registry form of a name: lower case, contrast ``wordings`` as marks, body ``parts`` by whole words, single blanks.
+
+    Pairs apply in their order, each to what the ones before it left."""
+    low = replace_chain(F.lower(F.trim(col)), wordings)
+    return F.regexp_replace(replace_chain(low, [(rf"\b{name}\b", mark) for name, mark in parts]), r"\s+", " ")

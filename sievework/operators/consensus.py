@@ -22,6 +22,10 @@ def is_imaging(
     return modality.isin(modalities) | contains_any(F.lower(name), parts)
 
 
+def is_named_mri(modality: Column, name: Column, parts: list[str] = packs.MRI_NAME_PARTS) -> Column:
+    return F.coalesce(modality == "MRI", F.lit(False)) | F.coalesce(contains_any(F.upper(name), parts), F.lit(False))
+
+
 def rating_band(rating: Column) -> Column:
     """Display band of a rating: >= 7, >= 4, below."""
     label = F.when(rating >= 7, "Usually Appropriate").when(rating >= 4, "May Be Appropriate")
@@ -43,6 +47,14 @@ def item_summary(items: DataFrame) -> DataFrame:
     )
 
 
+def rated_lists(items: DataFrame) -> DataFrame:
+    """(scenario_id, band, rank, item, rating): the ``high`` (7 and more) and ``middle`` (5, 6) list of a scenario, best first.
+    Lists are rows in order, so that a scenario with very many items is numbered by many tasks."""
+    band = F.when(F.col("rating") >= HIGH, "high").otherwise("middle")
+    kept = items.filter(F.col("rating") >= MIDDLE).select("scenario_id", band.alias("band"), (-F.col("rating")).alias("_r"), "pos", "item", "rating")
+    return full_row_number(kept, ["scenario_id", "band"], ["_r", "pos", "item"]).select("scenario_id", "band", "rank", "item", "rating")
+
+
 def consensus_cards(
     scenarios: DataFrame,
     items: DataFrame,

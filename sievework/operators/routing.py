@@ -371,3 +371,16 @@ def route_differences(left: DataFrame, right: DataFrame) -> DataFrame:
         right.select("rid", F.col("entry").alias("right_entry")), "rid", "full_outer"
     )
     return j.filter(~F.col("left_entry").eqNullSafe(F.col("right_entry")))
+
+
+def conflicts(rows: DataFrame, spine: Column, both: list[str] = packs.BOTH_CONTRASTS) -> DataFrame:
+    """``rows(..., contexts, contrast, item)`` with the two concerns of a route as flags: ``cross_region``, a spine item with a
+    tumour context, and ``contrast_mismatch``, an infection context with an item that neither takes contrast nor names both
+    ways. A missing contrast counts as none."""
+    def asked(context: str) -> Column:
+        return F.coalesce(F.array_contains("contexts", context), F.lit(False))
+
+    plain = (F.coalesce("contrast", F.lit(0)) == 0) & ~contains_any(F.lower("item"), both)
+    return rows.withColumns({
+        "cross_region": F.coalesce(spine, F.lit(False)) & asked("tumor"), "contrast_mismatch": F.coalesce(asked("infection") & plain, asked("infection")),
+    })

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import concepts as co
-from ..operators import lexical
+from ..operators import lexical, lookup
 from ..operators.containment import phrase_pairs
-from ..session import spread, table
+from ..session import materialise, spread, table
+from .lookup import FIRST, cascade_sql, queries, synonyms
 from .registry import ORACLES, query
 from .search import benchmark, documents
 from .texts import CONTEXTS, PHASES, context_value_sql, phase_sql
@@ -110,6 +111,33 @@ def phase_groups(spark, sf):
     return co.phase_groups(index(spark, sf), preferred=F.lit("surveillance"))
 
 
+@query(
+    "concept_previews",
+    sql=f"WITH {INDEX}, fs AS (SELECT concept_id, region, min(rank) AS first FROM idx GROUP BY ALL), rg AS (SELECT concept_id, list(region ORDER BY first) AS "
+    "regions FROM fs GROUP BY 1) SELECT concept_id, count(*) AS total, any_value(regions) AS regions, list(id ORDER BY rank)[1:5] AS ids FROM idx JOIN rg USING "
+    "(concept_id) GROUP BY 1",
+)
+def concept_previews(spark, sf):
+    return co.mapping_preview(materialise(index(spark, sf), "concept-index"))
+
+
+@query(
+    "check_expectations",
+    sql=f"WITH rs AS ({cascade_sql(FIRST)}), {BASE}, ep AS (SELECT 'page ' || page_id AS qid, page_id % 10 AS expected_concept, nullif(regexp_extract(url, "
+    "'//[^/]+/([a-z]+)/', 1), '') AS expected_region FROM pages) SELECT ep.qid, rs.concept_id, expected_concept, coalesce(rs.concept_id = "
+    "expected_concept AND co.region = expected_region, FALSE) AS passed FROM ep LEFT JOIN rs ON rs.qid = ep.qid LEFT JOIN co ON co.concept_id = rs.concept_id",
+)
+def check_expectations(spark, sf):
+    """Page hosts resolved to concepts, held against a concept and the region in their address."""
+    _, concepts, _, _ = concept_tables(spark, sf)
+    resolved = lookup.resolve(queries(spark, sf), synonyms(spark, sf), "first")
+    expected = table(spark, sf, "pages").select(
+        F.concat_ws(" ", F.lit("page"), "page_id").alias("qid"), (F.col("page_id") % 10).alias("expected_concept"),
+        F.nullif(F.regexp_extract("url", "//[^/]+/([a-z]+)/", 1), F.lit("")).alias("expected_region"),
+    )
+    return co.expectation_check(resolved, expected, concepts)
+
+
 @query(
     "check_contamination",
     sql=f"WITH {INDEX} SELECT concept_id, id, idx.region, co.region AS expected FROM idx JOIN co USING (concept_id) WHERE idx.region <> "

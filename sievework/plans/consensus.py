@@ -214,3 +214,47 @@ def quick_reference(spark, sf):
 )
 def primary_region(spark, sf):
     return consensus.mode_of(rated_items(spark, sf, item="p_name"), "item", "region", "pos")
+
+
+# an item's full name says what it shows, whatever its modality is called
+NAMED = "CASE l_linenumber % 4 WHEN 0 THEN 'MR ' || p_name WHEN 1 THEN 'CTA ' || p_name WHEN 2 THEN 'X-ray ' || p_name ELSE p_name END"
+ELIGIBLE = (
+    "(modality IN ('CT', 'MRI', 'US', 'XR', 'PET', 'NM', 'Mammo', 'Fluoro') OR regexp_matches(lower(item), 'cta|mra|mrv|ctv|angiograph|venograph|radiograph|"
+    "x-ray|xray'))"
+)
+
+
+def named_items(spark, sf, scenario="o_custkey"):
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("MR ", "CTA ", "X-ray ", "")]), ((F.col("pos") % 16) % 4 + 1).cast("int"))
+    return rated_items(spark, sf, scenario, "p_name").withColumn("item", F.concat(lead, "p_name"))
+
+
+@query("consensus_cards_imaging", sql=cards_sql("o_custkey", NAMED, ELIGIBLE))
+def consensus_cards_imaging(spark, sf):
+    """Cards of the items that are imaging by modality or by name."""
+    rows = named_items(spark, sf).filter(consensus.is_imaging(F.col("modality"), F.col("item")))
+    return consensus.consensus_cards(scenarios(spark, sf), rows)
+
+
+@query(
+    "rated_lists",
+    sql=f"WITH {items_sql('o_custkey', NAMED)} SELECT scenario_id, CASE WHEN rating >= 7 THEN 'high' ELSE 'middle' END AS band, row_number() OVER (PARTITION BY "
+    "scenario_id, rating >= 7 ORDER BY rating DESC, pos, item) AS rank, item, rating FROM it WHERE rating >= 5 AND (modality = 'MRI' OR contains(upper(item), "
+    "'MRI') OR contains(upper(item), 'MR ') OR contains(upper(item), 'MRCP'))",
+)
+def rated_lists(spark, sf):
+    """The magnetic resonance items of a scenario, by modality or name, in two lists."""
+    rows = named_items(spark, sf).filter(consensus.is_named_mri(F.col("modality"), F.col("item")))
+    return consensus.rated_lists(rows)
+
+
+@query(
+    "title_groups",
+    sql=f"WITH {items_sql('o_orderkey', 'p_name')}, p AS (SELECT scenario_id, count(*) AS n, count(*) FILTER (rating >= 7) AS h FROM it GROUP BY 1), r AS (SELECT "
+    "seq, CASE WHEN seq % 2 = 0 THEN upper(topic) ELSE topic END AS title, coalesce(n, 0) AS n, coalesce(h, 0) AS h FROM sc LEFT JOIN p USING (scenario_id)) "
+    "SELECT lower(title) AS key, arg_min(title, seq) AS title, min(seq) AS first_position, count(*) AS variants, CAST(floor(sum(n) / count(*) + 0.5) AS BIGINT) "
+    "AS mean_items, CAST(sum(h) AS BIGINT) AS high_rated FROM r GROUP BY 1",
+)
+def title_groups(spark, sf):
+    title = F.when(F.col("seq") % 2 == 0, F.upper("topic")).otherwise(F.col("topic"))
+    return consensus.title_groups(scenarios(spark, sf, "o_orderkey"), rated_items(spark, sf, "o_orderkey", "p_name"), title)

@@ -94,7 +94,7 @@ def lookup_similar(spark, sf):
     return lookup.suggest_similar(*prepared(spark, sf), 3)
 
 
-def _cascade(pick: str) -> str:
+def cascade_sql(pick: str) -> str:
     return (
         f"WITH {SYN}, {Q}, ex AS (SELECT qid, concept_id, synonym AS matched FROM q JOIN syn ON q = synonym), "
         f"l1 AS (SELECT * FROM q WHERE qid NOT IN (SELECT qid FROM ex)), sb AS {pick.format(src='l1')}, "
@@ -104,11 +104,11 @@ def _cascade(pick: str) -> str:
     )
 
 
-@query("concept_resolution_region", sql=_cascade(FIRST))
+@query("concept_resolution_region", sql=cascade_sql(FIRST))
 def concept_resolution_region(spark, sf):
     return lookup.resolve(queries(spark, sf), synonyms(spark, sf), "first")
 
 
-@query("concept_resolution_global", sql=_cascade(LONGEST))
+@query("concept_resolution_global", sql=cascade_sql(LONGEST))
 def concept_resolution_global(spark, sf):
     return lookup.resolve(queries(spark, sf), synonyms(spark, sf), "longest")

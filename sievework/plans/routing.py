@@ -351,3 +351,24 @@ def missing_definitions(spark, sf):
 def route_differences(spark, sf):
     r, c = requests(spark, sf), catalogue(spark, sf)
     return ro.route_differences(ro.route_by_rules(r, c, RULES), ro.route_by_rules(r, c, OTHER_RULES))
+
+
+@query(
+    "route_conflicts",
+    sql="SELECT l_orderkey AS rid, l_linenumber AS pos, p_type = 'STANDARD' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AS cross_region, o_orderpriority IN "
+    "('2-HIGH', '5-LOW') AND l_linenumber % 3 = 0 AND l_linestatus <> 'F' AS contrast_mismatch, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey "
+    "JOIN part ON p_partkey = l_partkey",
+)
+def route_conflicts(spark, sf):
+    """Lines as routed items: the priority gives the contexts, the line number the contrast, the part type the region."""
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(
+        table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")
+    )
+    urgent, high, low = (F.col("o_orderpriority") == x for x in ("1-URGENT", "2-HIGH", "5-LOW"))
+    contexts = F.array_compact(F.array(F.when(urgent | high, "tumor"), F.when(high | low, "infection")))
+    item = F.concat("p_name", F.when(F.col("l_linestatus") == "F", " Without and With contrast").otherwise(""))
+    rows = li.select(
+        F.col("l_orderkey").alias("rid"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), contexts.alias("contexts"), item.alias("item"),
+        F.nullif(F.col("l_linenumber") % 3, F.lit(0)).alias("contrast"), "p_type",
+    )
+    return ro.conflicts(rows, F.col("p_type") == "STANDARD").select("rid", "pos", "cross_region", "contrast_mismatch", "part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import packs
 from ..functions import text as tx
 from ..functions.rules import all_labels, best_class, context_map, first_alias, first_label, Rule
 from ..operators import titles
@@ -383,3 +384,30 @@ def parsed_replies(spark, sf):
     batches = run(rows, ["p_type"], "id", "name", 20)
     bare = batches.withColumn("body", F.regexp_replace("body", r"\[[0-9]+\] ", ""))
     return parse_scores(bare, "body").select("p_type", "batch", "idx", "score")
+
+
+REGISTRY_NAME = "concat_ws(' ', 'MR', CASE p_type WHEN 'STANDARD' THEN ' Head' WHEN 'ECONOMY' THEN 'Cervical Spine' WHEN 'MEDIUM' THEN 'Headrest' ELSE p_type END, p_name, {c})"
+CONTRASTS = ["WITHOUT IV contrast", "with IV contrast ", "without and with IV contrast"]
+
+
+def registry_sql() -> str:
+    x = "lower(trim(n))"
+    for a, b in packs.REGISTRY_CONTRAST:
+        x = f"replace({x}, '{a}', '{b}')"
+    for a, b in packs.REGISTRY_PARTS:
+        x = f"regexp_replace({x}, '\\b{a}\\b', '{b}', 'g')"
+    return f"regexp_replace({x}, '\\s+', ' ', 'g')"
+
+
+@query(
+    "canonical_names",
+    sql="SELECT id, " + registry_sql() + " AS name FROM (SELECT p_partkey AS id, "
+    + REGISTRY_NAME.format(c=f"CASE p_size % 3 WHEN 0 THEN '{CONTRASTS[0]}' WHEN 1 THEN '{CONTRASTS[1]}' ELSE '{CONTRASTS[2]}' END") + " AS n FROM part)",
+)
+def canonical_names(spark, sf):
+    size = F.col("p_size") % 3
+    contrast = F.when(size == 0, CONTRASTS[0]).when(size == 1, CONTRASTS[1]).otherwise(CONTRASTS[2])
+    kind = F.when(F.col("p_type") == "STANDARD", " Head").when(F.col("p_type") == "ECONOMY", "Cervical Spine").when(F.col("p_type") == "MEDIUM", "Headrest")
+    name = F.concat_ws(" ", F.lit("MR"), F.coalesce(kind, "p_type"), "p_name", contrast)
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), tx.canonical_name(name, packs.REGISTRY_CONTRAST, packs.REGISTRY_PARTS).alias("name"))

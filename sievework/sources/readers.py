@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import packed
+
 SCENARIO_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("description", T.StringType()),
@@ -116,30 +114,11 @@ def load_dictionary(spark: SparkSession, path: str, inner: str | None = None) ->
     return text.select(F.explode(mapped).alias("term", "list")).select("term", F.posexplode("list").alias("pos", "synonym"))
 
 
-def load_vectors(spark: SparkSession, blob: str, sidecar: str) -> DataFrame:
-    """(id, vector) of a packed half-precision matrix and its id list. Fixed-width records let
-    tasks read ranges of the blob; the id list is checked against the blob's size."""
-    meta = json.loads(spark.read.text(sidecar, wholetext=True).first()[0])
-    dim, count = int(meta["dim"]), int(meta["count"])
-    size = spark.read.format("binaryFile").load(blob).select("length").first()[0]
-    if size != dim * count * 2:
-        raise ValueError(f"matrix holds {size // 2} values, expected {dim * count}")
-    ids = spark.read.text(sidecar, wholetext=True).select(
-        F.posexplode(F.from_json("value", "struct<ids:array<string>>")["ids"]).alias("row", "id")
-    )
-    width = dim * 2
-    records = spark.sparkContext.binaryRecords(blob, width)
-
-    def decode(batches):
-        for pdf in batches:
-            yield pd.DataFrame(
-                {"row": pdf["row"], "vector": [np.frombuffer(b, dtype="<f2").astype("float32").tolist() for b in pdf["raw"]]}
-            )
-
-    numbered = records.zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-    raw = spark.createDataFrame(numbered, "row long, raw binary")
-    vectors = raw.mapInPandas(decode, "row long, vector array<float>")
-    return vectors.join(ids, "row").select("id", "vector")
+def load_vectors(spark: SparkSession, blob: str, sidecar: str | None = None) -> DataFrame:
+    """(id, vector) of a packed half-precision matrix and its id list, or of a folder of such pairs."""
+    packed.register(spark)
+    reader = spark.read.format(packed.FORMAT)
+    return (reader.option("sidecar", sidecar) if sidecar else reader).load(blob)
 
 
 STEP = "array<struct<type:string,planes:array<string>,contrast:string,note:string>>"
