@@ -66,3 +66,14 @@ def test_empty_texts_among_plain_words(docs, library):
 def test_empty_table(docs):
     frame = docs([]).select(pieces.encode(F.col("text"), piece_model()).alias("ids"))
     assert frame.select(pieces.decode(F.col("ids"), piece_model())).collect() == []
+
+
+def test_checked_encoding_equals_both_steps(spark):
+    texts = [None, "", " ", "a  b\n c", "▁x", "plain words", "� ￾\x00é😀", "tail ", "x" * 40_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
+    plain = F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    both = rows.select("*", pieces.encode_checked(F.col("text"), piece_model()).alias("c"), pieces.encode(F.col("text"), piece_model()).alias("ids"))
+    got = both.select("c.*", F.col("ids").alias("own"), (pieces.decode(F.col("ids"), piece_model()) == plain).alias("same")).collect()
+    assert len(got) == len(texts) and all(r.ids == r.own and r.round_trip == r.same for r in got)
+    none = rows.limit(0).select(pieces.encode_checked(F.col("text"), piece_model()).alias("c"))
+    assert none.collect() == []
