@@ -56,10 +56,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether they decode to it (a text's own U+2581 comes back as a blank)."""
-    coded = docs.withColumn("ids", pieces.encode(F.col("text"), piece_model()))
-    plain = F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
-    back = pieces.decode(F.col("ids"), piece_model()) == plain
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
+    coded = docs.select("doc_id", "lang", "source", pieces.encode_checked(F.col("text"), piece_model()).alias("coded"))
+    return coded.select(
+        "doc_id", "lang", "source", F.size("coded.ids").cast("long").alias("n_tokens"), F.col("coded.ids").alias("ids"), F.col("coded.round_trip").alias("round_trip")
+    )
 
 
 STAGES = [
