@@ -1,22 +1,24 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posterior labels.
 
 Voters look at a text and fire or don't: a stated word list, lexicons of words and of word beginnings that labelled
-rows tie to toxicity (each split into several voters), and patterns of shouting, masking and repetition. The label
-model is a latent class with a tree of dependences between voters: every voter has its firing rate per class, given
-the voter it depends on; rates, dependences and the posterior of every vote pattern are estimated by expectation
-maximisation over the pattern counts of all documents, with the patterns of the labelled sample as anchors. A
-logistic regression on word features is then trained on the sample's posterior labels, and scores any text.
+rows tie closely or less closely to toxicity (each with a voter for a first hit and one for several), and patterns of
+shouting, masking and shortness. The label model is a latent class with a tree of dependences between voters: every
+voter has its firing rate per class, given the voter it depends on; rates, dependences and the posterior of every vote
+pattern are estimated by expectation maximisation over the pattern counts of all documents, which weigh as much as the
+labelled sample, whose patterns are anchors. A logistic regression on word features is then trained on the posterior
+labels of the sample: a row's own label bears on the anchors only, never on what the classifier is told of the row.
 
 The classifier and the lexicons are fitted on a bounded sample of labelled rows (``most_labelled``, those with the
 smallest hashes); pattern counts cover all documents. Only 2 to the number of voters patterns can reach the driver.
 Null and empty texts have no features and get the base score. Repeated label rows of a document count once, the
-highest; null labels don't count. Without toxic rows in the sample the stated list alone carries the model.
+highest, and labels above 0 count as 1; null labels don't count. Of different texts with one id the sample takes the
+first in order. Without toxic rows in the sample the stated list alone carries the model.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,12 +36,14 @@ INSULTS = [
 ]
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_«»¡¿…"
 PREFIXES = (4, 5, 7)
-WORD_VOTERS = 4
-PREFIX_VOTERS = 2
+#: Lexicons: the stated list, words and beginnings tied closely or less closely to toxicity. Hits from which the second voter of each fires:
+SEVERAL = {"stated": 2, "close words": 2, "words": 2, "close beginnings": 3, "beginnings": 3}
+CLOSE = 0.85
 MASKED = re.compile(r"[A-Za-z][*#$%&@]{1,}[A-Za-z]")
 SHOUT = re.compile(r"!{2,}")
 LEAST_Z, LEAST_SHARE, LEAST_ROWS = 4.5, 0.5, 3
-N_VOTERS = 1 + WORD_VOTERS + PREFIX_VOTERS + 4
+N_LEXICAL = 2 * len(SEVERAL)
+N_VOTERS = N_LEXICAL + 4
 
 
 def tokens(text: str | None) -> set[str]:
@@ -56,21 +60,22 @@ def features(words: set[str]) -> set[str]:
 
 @dataclass
 class Lexicons:
-    """Feature to number of the voter it makes fire."""
+    """Feature to the numbers of its lexicons."""
 
-    voter_of: dict[str, int]
+    lexicons_of: dict[str, tuple[int, ...]]
 
     def votes(self, text: str | None) -> int:
         """Bits of the voters that fire."""
         text = text or ""
         words = tokens(text)
-        voter_of = self.voter_of
+        hits = [0] * len(SEVERAL)
+        for f in features(words).intersection(self.lexicons_of):
+            for k in self.lexicons_of[f]:
+                hits[k] += 1
         bits = 0
-        for f in features(words):
-            v = voter_of.get(f)
-            if v is not None:
-                bits |= 1 << v
-        at = 1 + WORD_VOTERS + PREFIX_VOTERS
+        for k, several in enumerate(SEVERAL.values()):
+            bits |= (hits[k] > 0) << 2 * k | (hits[k] >= several) << 2 * k + 1
+        at = N_LEXICAL
         spaced = text.split() if words else []
         upper = sum(map(str.isupper, spaced))
         bits |= (upper > 20 and 10 * upper > len(spaced)) << at  # of all words of the text
@@ -80,16 +85,14 @@ class Lexicons:
         return bits
 
 
-def lexicons(associated: Iterable[str], insults: list[str] = INSULTS) -> Lexicons:
-    """Voters of the stated list and of the words and beginnings found in the sample; a split goes by a hash."""
-    import zlib
-
-    voter_of = {}
-    for f in sorted(associated):
-        n, first = (PREFIX_VOTERS, 1 + WORD_VOTERS) if f.endswith("~") else (WORD_VOTERS, 1)
-        voter_of[f] = first + zlib.crc32(f.encode()) % n
-    voter_of |= {w: 0 for w in insults}
-    return Lexicons(voter_of)
+def lexicons(associated: Mapping[str, bool], insults: list[str] = INSULTS) -> Lexicons:
+    """Lexicons of the stated list and of the words and beginnings found in the sample, and whether each is tied closely."""
+    names = list(SEVERAL)
+    lexicons_of = {w: (0,) for w in insults}
+    for f, close in associated.items():
+        found = names.index(("close " if close else "") + ("beginnings" if f.endswith("~") else "words"))
+        lexicons_of[f] = (*lexicons_of.get(f, ()), found)
+    return Lexicons(lexicons_of)
 
 
 @dataclass
@@ -152,7 +155,7 @@ def _tree(dependence: np.ndarray, least: float) -> list[int]:
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, anchors: np.ndarray, prior: float, rounds: int = 40, least: float = 1e-3) -> LabelModel:
     """Expectation maximisation over pattern counts; ``anchors`` are counts of labelled rows per pattern and class."""
     values = (patterns[:, None] >> np.arange(N_VOTERS) & 1).astype(float)
-    lexical = values[:, : 1 + WORD_VOTERS + PREFIX_VOTERS].sum(axis=1)
+    lexical = values[:, :N_LEXICAL].sum(axis=1)
     toxic = np.where(lexical > 0, 0.9, prior / 10)
     model = LabelModel(prior)
     for _ in range(rounds):
@@ -218,7 +221,7 @@ def held_out(id_column: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_labelled: int = 12_000) -> ToxicityModel:
     base = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("toxic")).filter("id is not null and toxic is not null")
-    known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sample = sampled(known, most_labelled, "id")
 
     @F.arrow_udf("array<string>")
@@ -226,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         return pa.array([list(features(tokens(t.as_py()))) for t in texts], pa.list_(pa.string()))
 
     # The sample has at most ``most_labelled`` rows of two numbers.
-    chosen = base.join(F.broadcast(sample), "id").select("id", "toxic", "text").dropDuplicates(["id"])
+    chosen = base.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     by_feature = chosen.select("toxic", F.explode(seen("text")).alias("feature")).groupBy("feature")
     totals = chosen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     prior = min(0.5, max(0.01, (totals.t + 1) / (totals.n + 2)))
@@ -234,9 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     tied = by_feature.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).filter(
         (t >= LEAST_ROWS) & (t >= LEAST_SHARE * n) & (t - n * prior >= LEAST_Z * F.sqrt(n * prior * (1 - prior)))
     )
-    associated = [r.feature for r in tied.select("feature").collect()]  # no more than the sample has features
+    # no more than the sample has features
+    associated = {r.feature: r.close for r in tied.select("feature", (t >= CLOSE * (n + 1)).alias("close")).collect()}
     lex = lexicons(associated)
-    names = sorted(lex.voter_of)
+    names = sorted(lex.lexicons_of)
     number = {f: i for i, f in enumerate(names)}
 
     @F.arrow_udf("int")
@@ -255,12 +259,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     anchors = np.zeros((len(patterns), 2))
     for r in labelled:
         anchors[at[r.pattern], r.toxic] += 1
+    if labelled:
+        counts *= len(labelled) / counts.sum()
     model = fit_label_model(patterns, counts, anchors, prior)
     mine = np.array([r.pattern for r in labelled], int)
     soft = model.posterior(mine) if len(mine) else np.zeros(0)
-    # The row's own label is one more, nearly faultless voter.
-    odds = np.where(np.array([r.toxic for r in labelled], int) == 1, 999.0, 1 / 999.0)
-    soft = soft * odds / (soft * odds + 1 - soft)
     return ToxicityModel(lex, model, fit_classifier([r.features for r in labelled], soft, names))
 
 

@@ -62,6 +62,39 @@ def test_no_rows_and_no_toxic_rows(spark, docs):
 
 
 def test_shouting_counts_the_whole_text():
-    lexicons = toxicity.lexicons([])
+    lexicons = toxicity.lexicons({})
     late, rare = "word " * 300 + "LOUD " * 60, "word " * 3000 + "LOUD " * 60
     assert lexicons.votes(late) != lexicons.votes("word " * 360) == lexicons.votes(rare)
+
+
+def test_label_model_equals_sums_over_classes():
+    rng = np.random.default_rng(5)
+    n = toxicity.N_VOTERS
+    patterns = np.unique(rng.integers(0, 2**n, 300))
+    model = toxicity.fit_label_model(patterns, rng.integers(1, 50, len(patterns)).astype(float), np.zeros((len(patterns), 2)), 0.3)
+    for pattern, found in zip(patterns, model.posterior(patterns)):
+        joint = [1 - model.prior, model.prior]
+        for y in (0, 1):
+            for j, parent in enumerate(model.parents):
+                rate = model.rates[y, j, pattern >> parent & 1 if parent >= 0 else 0]
+                joint[y] *= rate if pattern >> j & 1 else 1 - rate
+        assert abs(found - joint[1] / sum(joint)) < 1e-9
+
+
+def test_own_labels_bear_on_anchors_only(spark, docs, words):
+    """Rows whose votes say nothing of toxicity are not learnt as toxic, whatever their own label says."""
+    texts, toxic = corpus(words)
+    frame = docs(texts)
+    wrong = [1 - t if k % 45 == 1 else t for k, t in enumerate(toxic)]  # a fiftieth of the clean rows labelled toxic
+    model = toxicity.fit(frame, spark.createDataFrame(list(enumerate(wrong)), "doc_id long, toxic int"))
+    scores = [model.classifier.score(t) for t in texts]
+    assert sum((s >= 0.3) == bool(t) for s, t in zip(scores, toxic)) / len(texts) > 0.98
+
+
+def test_repeated_ids_and_large_labels(spark, docs, words):
+    texts, toxic = corpus(words, 400)
+    twice = docs(texts).unionByName(docs([t + " end" for t in texts]))
+    labels = spark.createDataFrame([(k, 3 * t) for k, t in enumerate(toxic)], "doc_id long, toxic int")
+    one, two = toxicity.fit(twice, labels), toxicity.fit(twice.repartition(7), labels)
+    assert one.classifier.weights == two.classifier.weights
+    assert sum((one.classifier.score(t) >= 0.3) == bool(y) for t, y in zip(texts, toxic)) / len(texts) > 0.97
