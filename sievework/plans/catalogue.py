@@ -114,7 +114,7 @@ def expanded_templates(spark, sf):
 @query(
     "evidence",
     sql=f"WITH {BASE}, mt AS (SELECT p_name AS entry, o_custkey AS id, max(l_discount) AS relevance FROM lineitem JOIN part ON p_partkey = l_partkey JOIN "
-    "orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY ALL), "
+    "orders ON o_orderkey = l_orderkey GROUP BY ALL), "
     "ls AS (SELECT entry, id, CAST(relevance AS DOUBLE) AS score, 1 AS tier, id AS o FROM mt QUALIFY row_number() OVER (PARTITION BY entry ORDER BY id) "
     "<= 5), sh AS (SELECT name AS entry FROM ca LEFT JOIN ls ON name = entry GROUP BY 1 HAVING count(ls.id) < 3), "
     "h AS (SELECT name AS entry, scenario_id AS id, count(DISTINCT rid) AS n FROM rq JOIN ca ON ca.region = rq.region AND name = split_part(item, ' ', 2) || ' ' || split_part(item, ' ', 3) GROUP BY "
@@ -124,9 +124,8 @@ def expanded_templates(spark, sf):
 )
 def evidence(spark, sf):
     c, r = catalogue(spark, sf), requests(spark, sf)
-    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
     m = (
-        li.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+        table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
         .join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
         .groupBy(F.col("p_name").alias("entry"), F.col("o_custkey").alias("id")).agg(F.max("l_discount").alias("relevance"))
         .withColumn("pos", F.col("id"))

@@ -188,13 +188,15 @@ def check_coverage(spark, sf):
 
 @query(
     "check_false_positives",
-    sql=f"WITH {INDEX}, t AS (SELECT concept_id, keyword FROM kw WHERE length(keyword) >= 10) SELECT concept_id, id, relevance FROM idx "
+    sql=f"WITH {INDEX}, t AS (SELECT max(concept_id) AS concept_id, keyword FROM kw GROUP BY keyword HAVING count(DISTINCT concept_id) = 1) SELECT concept_id, id, relevance FROM idx "
     "WHERE rank <= 5 AND relevance > 0.3 AND NOT EXISTS (SELECT 1 FROM t WHERE t.concept_id = idx.concept_id AND contains(lower(idx.name), "
     "keyword))",
 )
 def check_false_positives(spark, sf):
+    """Best mappings that hold none of the keywords which only their concept has."""
     _, _, keywords, _ = concept_tables(spark, sf)
-    terms = keywords.filter(F.length("keyword") >= 10).select("concept_id", F.col("keyword").alias("term"))
+    owners = keywords.groupBy(F.col("keyword").alias("term")).agg(F.min("concept_id").alias("concept_id"), F.max("concept_id").alias("last"))
+    terms = owners.filter("concept_id = last").select("concept_id", "term")
     return co.false_positives(index(spark, sf), terms)
 
 

@@ -58,10 +58,12 @@ def _rule_sql(rules) -> str:
 
 MATCHES = (
     "mt AS (SELECT p_name AS entry, o_custkey AS scenario_id, max(l_discount) AS relevance FROM lineitem JOIN part ON p_partkey = "
-    "l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY ALL), "
+    "l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), "
     "me AS (SELECT rid, entry FROM rq JOIN mt USING (scenario_id) JOIN ca ON ca.name = entry QUALIFY row_number() OVER (PARTITION BY rid "
     "ORDER BY CAST(needs <> uses AS INTEGER), relevance DESC, seq) = 1)"
 )
+#: Matches by lines that came back only: without that meaning no request is left for the stages behind them.
+RETURNED = MATCHES.replace("GROUP BY ALL", "WHERE l_returnflag = 'R' GROUP BY ALL", 1)
 REGION_TERMS = [("asia", ["hot", "red"]), ("europe", ["bolt", "brand#1"]), ("africa", ["medium"])]
 IMPORTANT, BODY = ["house", "mach"], ["building", "low"]
 TERMS = (
@@ -119,10 +121,14 @@ def catalogue(spark, sf):
     )
 
 
-def explicit(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+def returned(spark, sf):
+    return explicit(spark, sf, table(spark, sf, "lineitem").filter("l_returnflag = 'R'"))
+
+
+def explicit(spark, sf, lines=None):
+    lines = table(spark, sf, "lineitem") if lines is None else lines
     return (
-        li.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+        lines.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
         .join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
         .groupBy(F.col("p_name").alias("entry"), F.col("o_custkey").alias("scenario_id"))
         .agg(F.max("l_discount").alias("relevance"))
@@ -162,7 +168,7 @@ def route_by_score(spark, sf):
 
 
 RESOLVED = (
-    f"WITH {BASE}, {MATCHES}, {TERMS}, {SCORES}, rl AS {_rule_sql(RULES)}, re AS (SELECT rid, entry, 'curated' AS match_type, 'rules' AS "
+    f"WITH {BASE}, {RETURNED}, {TERMS}, {SCORES}, rl AS {_rule_sql(RULES)}, re AS (SELECT rid, entry, 'curated' AS match_type, 'rules' AS "
     "stage FROM rl UNION ALL SELECT rid, entry, 'curated', 'explicit' FROM me WHERE rid NOT IN (SELECT rid FROM rl) UNION ALL SELECT rid, "
     "entry, 'suggested', 'scored' FROM bs WHERE rid NOT IN (SELECT rid FROM rl) AND rid NOT IN (SELECT rid FROM me))"
 )
@@ -170,7 +176,7 @@ RESOLVED = (
 
 @query("resolved_routes", sql=RESOLVED + " SELECT rid, entry, match_type, stage FROM re")
 def resolved_routes(spark, sf):
-    return ro.resolve(with_terms(spark, sf), catalogue(spark, sf), RULES, explicit(spark, sf))
+    return ro.resolve(with_terms(spark, sf), catalogue(spark, sf), RULES, returned(spark, sf))
 
 
 COVER = (
@@ -225,7 +231,7 @@ def route_audit(spark, sf):
 
 CONTEXTS = [("urgent", ["urgent", "high"]), ("home", ["household", "furniture"]), ("work", ["machinery", "building"])]
 AUDIT = (
-    f"{BASE}, {MATCHES}, io AS (SELECT rid, region, item, list_filter([" + ", ".join(
+    f"{BASE}, {RETURNED}, io AS (SELECT rid, region, item, list_filter([" + ", ".join(
         f"CASE WHEN {_has('lower(scenario)', ws)} THEN '{n}' END" for n, ws in CONTEXTS
     ) + "], lambda x: x IS NOT NULL) AS contexts FROM rq WHERE scenario_id NOT IN (SELECT scenario_id FROM mt) AND NOT (contains(item, "
     "'bolt') AND contains(lower(scenario), 'urgent')))"
@@ -234,7 +240,7 @@ AUDIT = (
 
 def audit_issues(spark, sf):
     rule = F.contains("item", F.lit("bolt")) & F.contains(F.lower("scenario"), F.lit("urgent"))
-    return ro.coverage_audit(requests(spark, sf), explicit(spark, sf), CONTEXTS, rule)
+    return ro.coverage_audit(requests(spark, sf), returned(spark, sf), CONTEXTS, rule)
 
 
 @query("coverage_audit", sql=f"WITH {AUDIT} SELECT rid, region, item, contexts FROM io")
@@ -269,15 +275,14 @@ def name_components(spark, sf):
 @query(
     "router",
     sql=f"WITH {BASE}, {COMP}, rg AS (SELECT lower('MRI ' || p_name || ' with IV contrast') AS k, arg_min(p_brand, p_partkey) AS e FROM part "
-    "WHERE p_type = 'SMALL' GROUP BY 1), f AS (SELECT item, list(name ORDER BY seq)[1:3] AS entries FROM cm JOIN ca ON "
+    "GROUP BY 1), f AS (SELECT item, list(name ORDER BY seq)[1:3] AS entries FROM cm JOIN ca ON "
     "cm.body_part IS NOT NULL AND (contains(ca.body_part, replace(cm.body_part, '_', ' ')) OR contains(replace(cm.body_part, '_', ' '), "
     "ca.body_part)) WHERE name NOT IN ('hot ring', 'old bolt') GROUP BY 1) SELECT cm.item, CASE WHEN k IS NOT NULL THEN 'exact' WHEN "
     "f.entries IS NOT NULL THEN 'component' ELSE 'unmapped' END AS match_type, contrast, body_part, CASE WHEN k IS NOT NULL THEN [e] ELSE "
     "f.entries END AS entries FROM cm LEFT JOIN rg ON lower(item) = k LEFT JOIN f ON f.item = cm.item",
 )
 def router(spark, sf):
-    p = table(spark, sf, "part").filter("p_type = 'SMALL'")
-    registry = p.select(
+    registry = table(spark, sf, "part").select(
         F.col("p_partkey").alias("seq"), F.concat(F.lit("MRI "), "p_name", F.lit(" with IV contrast")).alias("name"),
         F.array("p_brand").alias("entries"),
     )
