@@ -13,7 +13,7 @@ encoded on its own and only the text leaves the JVM.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -86,6 +86,11 @@ class PieceModel:
                 self.surface[i] = chr(b)
         self.unusual = silent | {i for i, b in self.byte_of.items() if b >= 128}
 
+    def forget(self) -> None:
+        """Drop the words and pairs met so far."""
+        self.words = _Words(self, {})
+        self.pairs, self.n_pairs = [{} for _ in self.pieces], 0
+
     def merge(self, text: str) -> list[str]:
         """The merges themselves: the best-ranked adjacent pair first, the leftmost of equals."""
         parts, rank, none = list(text), self.rank, np.inf
@@ -385,7 +390,8 @@ def decode(ids: Column, model_file: str) -> Column:
 
 def encode_checked(text: Column, model_file: str) -> Column:
     """struct(ids, round_trip): ids as ``encode`` gives them, and whether they decode to the text, in which null counts as empty
-    and U+2581 as a blank. One Python worker a task does both, and no decoded text leaves it."""
+    and U+2581 as a blank. One Python worker a task does both, and no decoded text leaves it; at a task's end it forgets the
+    words it met, as it lives on and shares an executor's memory with other stages."""
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
     def checked(model: PieceModel, texts: pa.Array) -> pa.Array:
@@ -394,7 +400,12 @@ def encode_checked(text: Column, model_file: str) -> Column:
         return pa.StructArray.from_arrays([ids, pc.equal(_decoded(model, ids), plain)], fields=list(kind))
 
     @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
-    def ids_and_check(texts: pa.Array) -> pa.Array:
-        return _by_slices(checked, model_at(model_file), texts, pc.binary_length(texts), kind)
+    def ids_and_check(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = model_at(model_file)
+        try:
+            for texts in batches:
+                yield _by_slices(checked, model, texts, pc.binary_length(texts), kind)
+        finally:
+            model.forget()
 
     return ids_and_check(text)

@@ -18,7 +18,7 @@ first in order. Without toxic rows in the sample the stated list alone carries t
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -213,6 +213,12 @@ class ToxicityModel:
     classifier: Classifier
 
 
+def _lists(run: Callable[[str | None], list], texts: pa.Array, kind: pa.DataType) -> pa.Array:
+    """A list for each text; those of a few texts at a time are Python objects."""
+    chunks = [pa.array([run(t.as_py()) for t in texts[k : k + 64]], pa.list_(kind)) for k in range(0, len(texts), 64)]
+    return pa.concat_arrays(chunks) if chunks else pa.array([], pa.list_(kind))
+
+
 def held_out(id_column: Column) -> Column:
     """Rows that no label is learnt from."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -226,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
     @F.arrow_udf("array<string>")
     def seen(texts: pa.Array) -> pa.Array:
-        return pa.array([list(features(tokens(t.as_py()))) for t in texts], pa.list_(pa.string()))
+        return _lists(lambda text: list(features(tokens(text))), texts, pa.string())
 
     # The sample has at most ``most_labelled`` rows of two numbers.
     chosen = base.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
@@ -249,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
     @F.arrow_udf("array<int>")
     def numbered(texts: pa.Array) -> pa.Array:
-        return pa.array([[number[f] for f in features(tokens(t.as_py())) if f in number] for t in texts], pa.list_(pa.int32()))
+        return _lists(lambda text: [number[f] for f in features(tokens(text)).intersection(number)], texts, pa.int32())
 
     counted = base.select(votes("text").alias("pattern")).groupBy("pattern").count().collect()  # at most 2 ** N_VOTERS
     labelled = chosen.select("id", "toxic", votes("text").alias("pattern"), numbered("text").alias("features")).orderBy("id").collect()
