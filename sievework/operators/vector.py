@@ -2,7 +2,8 @@
 
 The corpus is cut into cells around a bounded set of pivot vectors. The triangle inequality gives
 every query a bound on its k-th distance and the cells that can hold a closer vector; only those are
-visited, as blocks of bounded size, and each block returns its k best. No pair leaves a task.
+visited. Blocks of queries meet blocks of the corpus, a row crosses once for each block of the other side, and each pair of
+blocks returns its k best. Products in single precision rule rows out; what may be among the best is scored in doubles.
 
 The approximate form is an inverted file: more and smaller cells, of which a query visits the nearest ``share`` only;
 what it finds there is ranked by exact similarity.
@@ -10,8 +11,10 @@ what it finds there is ranked by exact similarity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,10 @@ from .ranking import top_k
 MAX_PIVOTS = 512
 #: Share of the cells that the approximate form visits.
 SHARE = 0.65
-BLOCK_ROWS = 4096
+#: Rows of a block; a pair of blocks is one task's group.
+BLOCK_ROWS = 16_384
+#: Queries and corpus rows whose products are held at once.
+TILE_QUERIES, TILE_ROWS = 2_048, 1_024
 
 
 def l2_normalise(col: Column) -> Column:
@@ -61,72 +67,147 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, skip_self: b
     id_type = dict(c.dtypes)["id"]
     qid_type = dict(q.dtypes)["qid"]
 
-    def assign(batches):
-        for pdf in batches:
-            d = _distances(np.stack(pdf["v"].to_numpy()), pivots)
-            pdf["cell"] = d.argmin(axis=1).astype("int32")
-            pdf["reach"] = d.min(axis=1)
-            yield pdf
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                v = _listed(part.column("v"))
+                d = _distances(v, pivots)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), _packed(v), pa.array(d.argmin(axis=1).astype("int32")), pa.array(d.min(axis=1))], names=["id", "v", "cell", "reach"]
+                )
 
-    cells = materialise(c.mapInPandas(assign, f"id {id_type}, v array<double>, cell int, reach double"), "cells")
+    cells = materialise(c.mapInArrow(assign, f"id {id_type}, v binary, cell int, reach double"), "cells")
     sizes = {r.cell: (r.n, r.reach) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).collect()}
-    nearest = top_k(cells.select("cell", "reach", "id"), ["cell"], [F.asc("reach"), F.asc("id")], wanted, "_r")
-    close: dict[int, list[float]] = {}
-    for r in nearest.select("cell", "reach").collect():  # at most MAX_PIVOTS * (k + 1) numbers
-        close.setdefault(r.cell, []).append(r.reach)
-    known = [(cell, d) for cell, ds in close.items() for d in ds]
-    known_cell = np.array([x[0] for x in known])
-    known_reach = np.array([x[1] for x in known])
     radius = np.array([sizes.get(i, (0, -1.0))[1] for i in range(len(pivots))])
-    parts = {cell: int(-(-n // BLOCK_ROWS)) for cell, (n, _) in sizes.items()}
-    q_parts = int(-(-n_queries // BLOCK_ROWS))
+    filled = np.flatnonzero(radius >= 0)
+    known_cell, known_reach = np.zeros(0, int), np.zeros(0)
+    if method == "exact":
+        nearest = top_k(cells.select("cell", "reach", "id"), ["cell"], [F.asc("reach"), F.asc("id")], wanted, "_r")
+        known = nearest.select("cell", "reach").collect()  # at most MAX_PIVOTS * (k + 1) numbers
+        known_cell, known_reach = np.array([r.cell for r in known]), np.array([r.reach for r in known])
     eps = 1e-9
 
-    def visits(batches):
-        for pdf in batches:
-            d = _distances(np.stack(pdf["v"].to_numpy()), pivots)
-            if method == "cells":
-                filled = np.flatnonzero(radius >= 0)
-                probes = max(1, int(np.ceil(share * len(filled))))
-                row = np.repeat(np.arange(len(d)), probes)
-                cell = filled[np.argsort(d[:, filled], axis=1)[:, :probes]].ravel()
-            else:
-                upper = d[:, known_cell] + known_reach
-                at = min(wanted, upper.shape[1]) - 1
-                bound = np.partition(upper, at, axis=1)[:, at]
-                row, cell = np.nonzero((radius >= 0) & (d - radius <= bound[:, None] + eps))
-            yield pd.DataFrame(
-                {"qid": pdf["qid"].to_numpy()[row], "v": [pdf["v"].iat[i] for i in row], "cell": cell.astype("int32")}
-            )
-
-    visiting = q.mapInPandas(visits, f"qid {qid_type}, v array<double>, cell int")
-    n_parts = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
-    left = visiting.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(n_parts, F.col("cell")) - 1))).withColumn(
-        "qpart", F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int")
-    )
-    right = cells.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(n_parts, F.col("cell"))).cast("int")).withColumn(
-        "qpart", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))
-    )
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                v = _listed(part.column("v"))
+                d = _distances(v, pivots)
+                if method == "cells":
+                    probes = max(1, int(np.ceil(share * len(filled))))
+                    met = np.zeros(d.shape, bool)
+                    np.put_along_axis(met, filled[np.argsort(d[:, filled], axis=1)[:, :probes]], True, axis=1)
+                else:
+                    upper = d[:, known_cell] + known_reach
+                    at = min(wanted, upper.shape[1]) - 1
+                    bound = np.partition(upper, at, axis=1)[:, at]
+                    met = (radius >= 0) & (d - radius <= bound[:, None] + eps)
+                yield pa.RecordBatch.from_arrays([part.column("qid"), _packed(v), _packed(np.packbits(met, axis=1))], names=["qid", "v", "met"])
 
-    def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or cs.empty:
-            return pd.DataFrame({"qid": [], "id": [], "score": []})
-        cs = cs.sort_values("id")
-        ids, scores = cs["id"].to_numpy(), np.stack(qs["v"].to_numpy()) @ np.stack(cs["v"].to_numpy()).T
-        if skip_self:
-            scores = np.where(qs["qid"].to_numpy()[:, None] == ids[None, :], -np.inf, scores)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        kept = np.take_along_axis(scores, order, axis=1).ravel()
-        out = pd.DataFrame({"qid": np.repeat(qs["qid"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": kept})
-        return out[np.isfinite(out["score"])]
-
-    keys = ["cell", "part", "qpart"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        best, f"qid {qid_type}, id {id_type}, score double"
-    )
+    visiting = q.mapInArrow(visits, f"qid {qid_type}, v binary, met binary")
+    # cells lie one after the other, and every BLOCK_ROWS rows make a block: a block holds few cells, or a part of a large one
+    parts, q_parts = -(-n_corpus // BLOCK_ROWS), -(-n_queries // BLOCK_ROWS)
+    ends = np.cumsum([sizes.get(i, (0, 0.0))[0] for i in range(len(pivots))]).tolist()
+    start = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in [0, *ends[:-1]]]), F.col("cell") + 1)
+    size = F.element_at(F.array(*[F.lit(int(sizes.get(i, (1, 0.0))[0])).cast("long") for i in range(len(pivots))]), F.col("cell") + 1)
+    block = F.least(F.floor((start + F.pmod(F.xxhash64("id"), size)) / F.lit(BLOCK_ROWS)), F.lit(parts - 1)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = visiting.withColumn("qpart", F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int")).withColumn("part", every(parts))
+    right = cells.select("id", "v", "cell", block.alias("part")).withColumn("qpart", every(q_parts))
+    schema = pa.schema([("qid", _arrow_type(q, "qid")), ("id", _arrow_type(c, "id")), ("score", pa.float64())])
+
+    def best(qs: pa.Table, cs: pa.Table) -> pa.Table:
+        if not qs.num_rows or not cs.num_rows:
+            return schema.empty_table()
+        at, near, scores = _block_best(qs, cs, k, wanted, skip_self)
+        columns = [qs.column("qid").take(pa.array(at)), cs.column("id").take(pa.array(near)), pa.array(scores)]
+        return pa.Table.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns], schema=schema)
+
+    keys = ["qpart", "part"]
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"qid {qid_type}, id {id_type}, score double")
     return top_k(hits, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(start, rows) for start in range(0, batch.num_rows, rows))
+
+
+def _listed(column: pa.Array) -> np.ndarray:
+    """Rows of a column of lists of doubles, all of the same length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(rows)], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def _block_best(qs: pa.Table, cs: pa.Table, k: int, wanted: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``qs(qid, v, met)``, row of ``cs(id, v, cell)`` and score of the ``k`` best of each query in the cells it visits."""
+    asked, met = _unpacked(qs.column("v"), np.float64), np.unpackbits(_unpacked(qs.column("met"), np.uint8), axis=1)
+    given, cell = _unpacked(cs.column("v"), np.float64), cs.column("cell").to_numpy()
+    qids, ids = (t.column(name).to_numpy() for t, name in ((qs, "qid"), (cs, "id")))
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(order), np.int64)  # of an id among the sorted ones
+    place[order] = np.arange(len(order))
+    # of equal vectors only those with the smallest ids can be among the best
+    equal = np.unique(given[order].view(f"V{given.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
+    grouped = np.argsort(equal, kind="stable")
+    first = np.searchsorted(equal[grouped], equal[grouped])
+    rows = order[grouped[np.arange(len(grouped)) - first < wanted]]
+    rows = rows[np.argsort(cell[rows], kind="stable")]
+    asked32, given32 = asked.astype(np.float32), given.astype(np.float32)
+    margin = np.float32(1.2e-7 * (given.shape[1] + 8))
+    floor = np.full(len(asked), -np.inf, np.float32)  # k-th best score so far
+    top, near = np.full((len(asked), k), -np.inf), np.full((len(asked), k), -1)
+
+    def take(r: np.ndarray, c: np.ndarray) -> None:
+        """Score pairs and merge them into the best ones of their queries."""
+        scores = np.concatenate([np.einsum("ij,ij->i", asked[r[i : i + 65_536]], given[c[i : i + 65_536]]) for i in range(0, len(r), 65_536)])
+        seen = np.unique(r)
+        held_r, held_c, held_s = np.repeat(seen, k), near[seen].ravel(), top[seen].ravel()
+        real = held_c >= 0
+        r, c, scores = np.concatenate([r, held_r[real]]), np.concatenate([c, held_c[real]]), np.concatenate([scores, held_s[real]])
+        by = np.lexsort((place[c], -scores, r))
+        r, c, scores = r[by], c[by], scores[by]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        kept = rank < k
+        top[r[kept], rank[kept]], near[r[kept], rank[kept]] = scores[kept], c[kept]
+        floor[seen] = top[seen, k - 1]
+
+    cuts = np.flatnonzero(np.diff(cell[rows])) + 1
+    for run in np.split(rows, cuts):
+        visiting = np.flatnonzero(met[:, cell[run[0]]])
+        for tile in (run[i : i + TILE_ROWS] for i in range(0, len(run), TILE_ROWS)):
+            turned = np.ascontiguousarray(given32[tile].T)
+            for some in (visiting[i : i + TILE_QUERIES] for i in range(0, len(visiting), TILE_QUERIES)):
+                scores = asked32[some] @ turned
+                least = floor[some]
+                new = np.isneginf(least)
+                if len(tile) > wanted and new.any():
+                    least[new] = np.partition(scores[new], len(tile) - wanted, axis=1)[:, len(tile) - wanted]
+                hits = np.flatnonzero(scores >= (least - margin)[:, None])
+                r, c = some[hits // len(tile)], tile[hits % len(tile)]
+                if skip_self:
+                    other = qids[r] != ids[c]
+                    r, c = r[other], c[other]
+                if len(r):
+                    take(r, c)
+    at, rank = np.nonzero(near >= 0)
+    return at, near[at, rank], top[at, rank]
+
+
 # Abbreviation and its full form, both matched as raw substrings.
 ABBREVIATIONS = [
     ("llq", "left lower quadrant"), ("rlq", "right lower quadrant"), ("luq", "left upper quadrant"),

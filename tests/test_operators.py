@@ -286,3 +286,24 @@ def test_card_match(spark):
     q = spark.createDataFrame([(1, "Stroke"), (2, "an acute stroke today"), (3, "pain in knee"), (4, "nothing")], "qid int, text string")
     got = rows(cards.match_cards(q, c), "qid", "topic", "exact")
     assert got == [(1, "stroke", True), (2, "acute stroke", False), (3, "knee pain", False)]
+
+
+def test_vectors_with_many_copies_and_blocks(spark, monkeypatch):
+    """A third of the rows is one vector, blocks are small on both sides; a query's row doesn't grow with the cells it visits."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 5)).tolist()
+    data = [(i, v) for i, v in enumerate(base)] + [(300 + i, base[0]) for i in range(150)]
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(vector, "TILE_ROWS", 30)
+    df = spark.createDataFrame(data, "id int, vector array<double>")
+    got = rows(vector.vector_topk(df.withColumnRenamed("id", "qid"), df, 4, skip_self=True), "qid", "rank", "id")
+    m = np.array([v for _, v in data])
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(np.einsum("ik,jk->ij", m, m), 12)
+    np.fill_diagonal(sims, -9)
+    wanted = [(q, r + 1, int(i)) for q in range(len(data)) for r, i in enumerate(np.lexsort((np.arange(len(data)), -sims[q]))[:4])]
+    assert got == wanted
+    qs = vector.pa.table({"qid": [7], "v": [m[0].tobytes()], "met": [bytes([0b01000000])]})
+    cs = vector.pa.table({"id": [3, 2, 9], "v": [m[0].tobytes(), m[1].tobytes(), m[0].tobytes()], "cell": vector.pa.array([1, 0, 1], "int32")})
+    at, near, _ = vector._block_best(qs, cs, 2, 2, False)
+    assert at.tolist() == [0, 0] and near.tolist() == [0, 2]
