@@ -330,16 +330,23 @@ def build_router(
 
 def choose_route(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """(rid, entry, by_context): among the routes of the item the lowest priority with a context word in
-    the scenario, else the first. ``routes(item, pos, entry, context, priority)``, context an array."""
-    low = F.lower("scenario")
-    joined = requests.select("rid", "item", "scenario").join(routes, "item")
-    hit = F.exists("context", lambda w: F.contains(low, F.lower(w)))
-    order = F.when(hit, F.col("priority")).otherwise(F.lit(None).cast("int"))
-    scored = joined.select(
-        "rid", "entry", "pos", (~hit).cast("int").alias("_miss"), F.coalesce(order, F.lit(0)).alias("_p")
+    the scenario, else the first. ``routes(item, pos, entry, context, priority)``, context an array.
+
+    Of routes with the same item and context only the best one on a hit and the first one can be chosen; they meet the
+    distinct pairs of item and scenario, and each request looks its pair up."""
+    kept = routes.groupBy("item", "context").agg(
+        F.min(F.struct(F.coalesce("priority", F.lit(0)).alias("_p"), "pos", "entry")).alias("_hit"), F.min(F.struct("pos", "entry")).alias("_first")
+    )
+    pairs = requests.select("item", "scenario").distinct()
+    hit = F.exists("context", lambda w: F.contains(F.lower("scenario"), F.lower(w)))
+    joined = pairs.join(kept, "item").withColumn("_h", hit)
+    taken = F.when(F.col("_h"), F.col("_hit")).otherwise(F.struct(F.lit(0).alias("_p"), "_first.pos", "_first.entry"))
+    scored = joined.select("item", "scenario", (~F.col("_h")).cast("int").alias("_miss"), taken.alias("_t")).select("item", "scenario", "_miss", "_t.*")
+    best = first_by(scored, ["item", "scenario"], ["_miss", "_p", "pos"], ["entry"]).select(
+        F.col("item").alias("_item"), F.col("scenario").alias("_scenario"), "entry", (F.col("_miss") == 0).alias("by_context")
     )
-    best = first_by(scored, ["rid"], ["_miss", "_p", "pos"], ["entry"])
-    return best.select("rid", "entry", (F.col("_miss") == 0).alias("by_context"))
+    same = (F.col("item") == F.col("_item")) & F.col("scenario").eqNullSafe(F.col("_scenario"))
+    return requests.select("rid", "item", "scenario").join(best, same).select("rid", "entry", "by_context")
 
 
 def supplements(requests: DataFrame, always: DataFrame, contextual: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import automaton, cards, catalogue, concepts, consensus, lexical, lookup, termscan, titles, vector
+from sievework.operators import automaton, cards, catalogue, concepts, consensus, lexical, lookup, routing, termscan, titles, vector
 from sievework.operators.containment import phrase_pairs, skew_join, words_containing, words_within
 from sievework.operators.ranking import full_row_number, next_value
 
@@ -307,3 +307,27 @@ def test_vectors_with_many_copies_and_blocks(spark, monkeypatch):
     cs = vector.pa.table({"id": [3, 2, 9], "v": [m[0].tobytes(), m[1].tobytes(), m[0].tobytes()], "cell": vector.pa.array([1, 0, 1], "int32")})
     at, near, _ = vector._block_best(qs, cs, 2, 2, False)
     assert at.tolist() == [0, 0] and near.tolist() == [0, 2]
+
+
+def test_routes_of_an_item_are_reduced_before_requests(spark):
+    routes = spark.createDataFrame(
+        [("a", 3, "x", ["urgent"], 2), ("a", 1, "y", ["urgent"], 2), ("a", 0, "z", ["home"], 1), ("a", 5, "w", ["urgent"], None)]
+        + [("a", 100 + i, "n", ["never"], 0) for i in range(500)],
+        "item string, pos int, entry string, context array<string>, priority int",
+    )
+    requests = spark.createDataFrame([(1, "a", "urgent call"), (2, "a", "plain"), (3, "a", "urgent call"), (4, "b", "plain")], "rid int, item string, scenario string")
+    chosen = routing.choose_route(requests, routes.filter("entry <> 'w'"))
+    assert rows(chosen, "rid", "entry", "by_context") == [(1, "y", True), (2, "z", False), (3, "y", True)]
+    assert rows(routing.choose_route(requests, routes), "rid", "entry")[0] == (1, "w")  # no priority counts as 0
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join")[-1].count("Aggregate") == 2  # routes and requests, each before they meet
+
+
+def test_matches_are_reduced_before_requests(spark):
+    names = spark.createDataFrame([(i, f"e{i}", i % 2 == 0) for i in range(40)], "seq int, name string, uses_contrast boolean")
+    matches = spark.createDataFrame([(f"e{i}", s, float(i // 4 % 3)) for i in range(40) for s in (1, 2)] + [("e1", 3, 1.0)], "entry string, scenario_id int, relevance double")
+    requests = spark.createDataFrame([(1, 1, True), (2, 1, False), (3, 2, None), (4, 3, True), (5, 4, True)], "rid int, scenario_id int, needs_contrast boolean")
+    routed = routing.route_by_matches(requests, matches, names)
+    assert rows(routed, "rid", "entry") == [(1, "e8"), (2, "e9"), (3, "e8"), (4, "e1")]
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [scenario_id" in plan.split("Join")[1]  # at most one match per scenario and contrast meets requests
