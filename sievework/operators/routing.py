@@ -76,10 +76,13 @@ def route_by_rules(requests: DataFrame, catalogue: DataFrame, rules: list[RouteR
 
 def route_by_matches(requests: DataFrame, matches_: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(rid, entry) from explicit ``matches_(entry, scenario_id, relevance)``: agreement on contrast
-    first, then relevance, then catalogue order. ``requests`` carry ``needs_contrast``."""
+    first, then relevance, then catalogue order. ``requests`` carry ``needs_contrast``.
+
+    A scenario keeps its best match with and its best match without contrast; no request meets any other."""
     m = first_by(
         matches_.withColumn("_r", -F.col("relevance")), ["entry", "scenario_id"], ["_r"], []
     ).join(catalogue.select(F.col("name").alias("entry"), "seq", "uses_contrast"), "entry")
+    m = first_by(m, ["scenario_id", "uses_contrast"], ["_r", "seq"], ["entry"])
     joined = requests.select("rid", "scenario_id", "needs_contrast").join(m, "scenario_id")
     miss = (F.col("needs_contrast") != F.col("uses_contrast")).cast("int")
     return first_by(joined.withColumn("_m", miss), ["rid"], ["_m", "_r", "seq"], ["entry"]).select("rid", "entry")
