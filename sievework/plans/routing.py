@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import routing as ro
 from ..operators.routing import RouteRule
-from ..session import table
+from ..session import materialise, table
 from .registry import literal, query
 
 BASE = (
@@ -185,7 +185,7 @@ COVER = (
 
 
 def covered(spark, sf):
-    r, c = requests(spark, sf), catalogue(spark, sf)
+    r, c = materialise(requests(spark, sf), "requests"), catalogue(spark, sf)
     rules = ro.route_by_rules(r, c, RULES)
     old = ro.route_by_matches(r, explicit(spark, sf), c).filter("entry like 'old%'")
     return r, rules.unionByName(old)
