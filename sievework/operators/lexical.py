@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm, word_bounded_at_first, words
 from ..session import materialise
-from .containment import WordIndex, phrase_pairs, postings, words_containing, words_within
+from .containment import WordIndex, phrase_pairs, postings, words_containing
 from .lookup import near_words
 from .ranking import top_k
-from .termscan import bm25_top_k, query_blocks, scan_top_k
+from .termscan import bm25_top_k, query_blocks, scan_top_k, string_blocks, term_points
 
 
 def build_postings(corpus: DataFrame, min_len: int = 2) -> DataFrame:
@@ -47,28 +47,27 @@ def expand_queries(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     return own.unionByName(added).distinct()
 
 
-def term_weights(terms: DataFrame, index: WordIndex, exact: int = 3, partial: int = 1, min_len: int = 1) -> DataFrame:
-    """(term, word, w) for distinct ``terms(word)`` against the distinct vocabulary: ``exact`` for the
-    word itself, ``partial`` for every other index word that contains the term or lies in it."""
-    vocabulary = index.vocabulary.select("word")
-    longer = words_containing(
-        terms.filter(F.length("word") >= min_len).select(F.col("word").alias("needle")), vocabulary
-    ).select(F.col("needle").alias("term"), "word")
-    shorter = words_within(terms.select(F.col("word").alias("term")), vocabulary.filter(F.length("word") >= min_len))
-    # containment in both directions is equality and leaves the partial rows
-    partial_hits = longer.unionByName(shorter).filter("term <> word").withColumn("w", F.lit(partial))
-    exact_hits = terms.join(vocabulary, "word", "left_semi").select(
-        F.col("word").alias("term"), "word", F.lit(exact).alias("w")
-    )
-    return partial_hits.unionByName(exact_hits)
-
+def term_scores(terms: DataFrame, texts: DataFrame, min_len: int = 1, exact: int = 3, partial: int = 1) -> DataFrame:
+    """(term, id, points) of distinct ``terms(word)`` in ``texts(id, text)``, normalised: ``exact`` for the word itself, ``partial``
+    for every other word of two or more characters that contains the term or lies in it. ``min_len`` leaves one-sided matches of
+    shorter strings out; 1 keeps all of them.
 
-def term_scores(terms: DataFrame, index: WordIndex, min_len: int = 1) -> DataFrame:
-    """(term, id, points) summed over the index words of each document. Evaluated once per distinct
-    term. ``min_len`` leaves one-sided matches of shorter strings out; 1 keeps all of them."""
-    distinct_terms = materialise(terms.select("word").distinct(), "terms")
-    weights = term_weights(distinct_terms, index, min_len=min_len)
-    return index.lookup(weights, "id").groupBy("term", "id").agg(F.sum("w").alias("points"))
+    Terms are taken in blocks of bounded size, each with one scan of the texts; nearly every term meets nearly every text, so
+    these rows leave the scan as they are, without a shuffle. Rows that repeat an id count as one text."""
+    listed = texts.select("id", F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) >= 2)).alias("w"))
+    repeated = materialise(
+        texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_id")), "repeated"
+    )
+    if not repeated.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        merged = listed.join(repeated, same, "left_semi").select("id", F.explode("w").alias("word"))
+        merged = merged.groupBy("id").agg(F.collect_set("word").alias("w"))
+        listed = listed.join(repeated, same, "left_anti").unionByName(merged)
+    found = None
+    for block in string_blocks(terms, "word"):
+        part = term_points(listed, block, exact, partial, min_len)
+        found = part if found is None else found.unionByName(part)
+    return term_points(listed, [], exact, partial, min_len) if found is None else found
 
 
 def keyword_search(

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm
 from ..operators import lexical
-from ..operators.containment import WordIndex
 from ..session import spread, table
 from .registry import norm_sql, query
 
@@ -91,7 +90,7 @@ def expanded_queries(spark, sf):
 def term_scores(spark, sf):
     terms = lexical.build_postings(benchmark(spark, sf).withColumnRenamed("qid", "id")).select("word")
     texts = documents(spark, sf).select("id", norm(F.col("text")).alias("text"))
-    return lexical.term_scores(terms, WordIndex.build(texts, "id", "text", 2))
+    return lexical.term_scores(terms, texts)
 
 
 @query(
