@@ -7,9 +7,9 @@ calibrated on held-out candidates to a stated precision. Selected spans are adde
 
 The trees learn from the corpus itself: base matches, and the same rewritten in the generators' forms, are positive;
 matches that a base rule dropped and bare numbers that no generator proposes are negative. Every candidate counts: equal feature vectors of a label
-are one row with their number as its weight. Of more than ``most_candidates`` distinct ones, each kind and label has its
-share; frequent vectors always stay, a rare one stays by its hash and then stands for those that don't. Finding and
-judging cover every candidate of every whole text. Null and empty texts have no spans. Where nothing can be learnt, nothing is added. All scans are linear in the text. Spans count code points, ends
+are one row with their number as its weight. Up to ``most_candidates`` distinct ones are learnt from on the driver; more stay
+where they are, and only sums per node, feature and bin come back from the tasks (``boosted``). Finding and judging cover
+every candidate of every whole text. Null and empty texts have no spans. Where nothing can be learnt, nothing is added. All scans are linear in the text. Spans count code points, ends
 are exclusive. Repeated rows are treated alike, further columns are ignored.
 """
 
@@ -20,7 +20,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -207,13 +207,42 @@ class Boosted:
             z += values[leaf]
         return self
 
+    def fit_sums(self, edges: list[np.ndarray], share: float, sums: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Boosted:
+        """``fit`` from sums alone: ``sums(feature, cut, level)`` gives those of g and h by node of a level of the growing tree,
+        feature and bin, as an array of 2 x nodes x features x bins."""
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        self.base = float(np.log(share / (1 - share)))
+        n_nodes = 2**self.depth - 1
+        for _ in range(self.rounds):
+            feature, cut = np.zeros(n_nodes, int), np.full(n_nodes, np.inf)
+            for level in range(self.depth):
+                totals = sums(feature, cut, level)
+                leaves = np.zeros((2, 2 ** (level + 1)))
+                for at in range(2**level):
+                    g, h = totals[:, at]
+                    g_all, h_all = g[0].sum(), h[0].sum()
+                    leaves[:, 2 * at] = g_all, h_all
+                    best, k = 1e-6, 2**level - 1 + at
+                    for j, e in enumerate(edges):
+                        gl, hl = np.cumsum(g[j])[: len(e)], np.cumsum(h[j])[: len(e)]
+                        gain = gl**2 / (hl + self.ridge) + (g_all - gl) ** 2 / (h_all - hl + self.ridge) - g_all**2 / (h_all + self.ridge)
+                        if len(e) and gain.max() > best:
+                            b = gain.argmax()
+                            best, feature[k], cut[k] = gain[b], j, e[b]
+                            leaves[:, 2 * at : 2 * at + 2] = [[gl[b], g_all - gl[b]], [hl[b], h_all - hl[b]]]
+            self.trees.append((feature, cut, self.rate * leaves[0] / (leaves[1] + self.ridge)))
+        return self
+
+    def nodes(self, x: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+        node = np.zeros(len(x), int)
+        for _ in range(depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
+        return node
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.base)
         for feature, cut, values in self.trees:
-            node = np.zeros(len(x), int)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
-            z += values[node - len(cut)]
+            z += values[self.nodes(x, feature, cut, self.depth) - len(cut)]
         return 1 / (1 + np.exp(-z))
 
 
@@ -233,16 +262,12 @@ def calibrated(trees: Boosted, x: np.ndarray, y: np.ndarray, precision: float, w
         of = x[:, k] > 0 if len(x) else np.zeros(0, bool)
         s, at = np.unique(-scores[of], return_inverse=True)  # equal scores pass a threshold together
         right, n = np.bincount(at, weights=(w * y)[of], minlength=len(s)), np.bincount(at, weights=w[of], minlength=len(s))
-        good = np.flatnonzero(np.cumsum(right) >= precision * np.cumsum(n))
-        out[kind] = 2.0
-        if len(good) and right.any():
-            below = -s[good[-1] + 1] if good[-1] + 1 < len(s) else 0.5
-            out[kind] = max(0.5, float(below - s[good[-1]]) / 2)
+        out[kind] = _threshold(-s, right, n, precision)
     return out
 
 
 def weighted(counted: DataFrame, most: int) -> DataFrame:
-    """Distinct vectors ``x, label, kind, n, held`` with ``scale``, what each one kept stands for: 1 where all are kept.
+    """A bounded sample of ``x, label, kind, n, held``, which ``fit`` has no need of, with ``scale``, what a vector kept stands for.
 
     Of more than ``most``, a kind and label keeps a vector with a chance of its number over a bound, and surely from the
     bound on, so that sums of weights are as expected and about ``most`` are kept however the numbers are spread."""
@@ -302,16 +327,103 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return counted.agg(F.sum("n").alias("n"), F.sum("held").alias("held")).withColumn("kind", kind.cast("int"))
 
 
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    x = np.array(batch.column("x").to_pylist(), float)
+    return x, *(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("label", "n", "held"))
+
+
+def boosted(counted: DataFrame, most: float) -> Boosted:
+    """``Boosted.fit`` on all of ``counted(x, label, kind, n, held)`` that is not held out, a kind weighing ``most`` / 4 at most.
+
+    A pass for each level of a tree returns sums of g and h per node, feature and bin. They are sums of whole multiples
+    of 2^-36, so that their order doesn't matter; weights add up to ``most``, so they are exact."""
+    kinds = {r.kind: r for r in counted.groupBy("kind").agg(F.sum(F.col("n") - F.col("held")).alias("w"), F.sum((F.col("n") - F.col("held")) * F.col("label")).alias("y")).collect()}
+    scale = np.zeros(len(KINDS) + 1)
+    for kind, r in kinds.items():
+        scale[kind] = min(1.0, most / len(KINDS) / max(r.w, 1.0))
+    total = sum(scale[k] * r.w for k, r in kinds.items())
+    trees = Boosted()
+    if not total:
+        return trees
+    by_kind = F.try_element_at(F.lit(scale.tolist()), F.col("kind") + 1)
+    values = counted.select(F.posexplode("x").alias("j", "v"), F.round((F.col("n") - F.col("held")) * by_kind * 2**36).cast("long").alias("w"))
+    met: dict[int, list] = defaultdict(list)
+    for r in values.filter("w > 0").groupBy("j", "v").agg(F.sum("w").alias("w")).collect():
+        met[r.j].append((r.v, float(r.w)))
+    edges = [_edges(*np.array(met[j]).T, trees.bins) for j in sorted(met)]
+    width = max(len(e) for e in edges) + 1
+
+    def sums(feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        shape = (2, 2**level, len(edges), width)
+
+        def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(shape)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, y, n, held = _columns(batch)
+                w = (n - held) * scale[x[:, : len(KINDS)].argmax(axis=1) + 1]
+                p = trees.predict(x)
+                g, h = np.round(w * (y - p) * 2**36), np.round(w * p * (1 - p) * 2**36)
+                node = trees.nodes(x, feature, cut, level) - (2**level - 1)
+                for j, e in enumerate(edges):
+                    cell = node * width + np.searchsorted(e, x[:, j], "left")
+                    for k, values in enumerate((g, h)):
+                        out[k, :, j] += np.bincount(cell, weights=values, minlength=2**level * width).reshape(-1, width)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.ravel()[at].astype(np.int64))], ["at", "value"])
+
+        out = np.zeros(shape).ravel()
+        for r in counted.select("x", "label", "n", "held").mapInArrow(summed, "at long, value long").groupBy("at").agg(F.sum("value").alias("value")).collect():
+            out[r["at"]] = r["value"] / 2**36
+        return out.reshape(shape)
+
+    return trees.fit_sums(edges, sum(scale[k] * r.y for k, r in kinds.items()) / total, sums)
+
+
+def held_scores(counted: DataFrame, trees: Boosted) -> list:
+    """``kind, score, right, n`` of everything held out, scores to four decimals: at most 10,001 of a kind."""
+
+    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y, _, held = _columns(batch)
+                score = np.round(trees.predict(x) * 10_000).astype(np.int64)
+                columns = [x[:, : len(KINDS)].argmax(axis=1), score, (y * held).astype(np.int64), held.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "score", "right", "n"])
+
+    found = counted.select("x", "label", "n", "held").filter("held > 0").mapInArrow(scored, "kind long, score long, right long, n long")
+    return found.groupBy("kind", "score").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).collect()
+
+
+def _threshold(s: np.ndarray, right: np.ndarray, n: np.ndarray, precision: float) -> float:
+    """Of falling scores ``s``."""
+    good = np.flatnonzero(np.cumsum(right) >= precision * np.cumsum(n))
+    if not (len(good) and right.any()):
+        return 2.0
+    below = s[good[-1] + 1] if good[-1] + 1 < len(s) else 0.5
+    return max(0.5, float(below + s[good[-1]]) / 2)
+
+
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_candidates: int = 12_000, precision: float = 0.99) -> Judge:
     """Trees and thresholds from the base matches of the corpus."""
     counted = materialise(candidates(docs, id_column, text_column), "candidates")
-    rows = weighted(counted, most_candidates).collect()
+    if counted.count() > most_candidates:
+        trees, thresholds = boosted(counted, most_candidates), {}
+        rows = sorted(held_scores(counted, trees), key=lambda r: -r.score)
+        release(counted)
+        for k, kind in enumerate(KINDS):
+            of = [r for r in rows if r.kind == k]
+            s, right, n = (np.array([r[c] for r in of], float) for c in ("score", "right", "n"))
+            thresholds[kind] = _threshold(s / 10_000, right, n, precision)
+        return Judge(trees, thresholds)
+    rows = counted.collect()
     release(counted)
     rows.sort(key=lambda r: (r.x, r.label))
     if not rows:
         return Judge(Boosted(), {k: 2.0 for k in KINDS})
     x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows], float)
-    held, rest = np.array([r.scale * r.held for r in rows]), np.array([r.scale * (r.n - r.held) for r in rows])
+    held, rest = np.array([float(r.held) for r in rows]), np.array([float(r.n - r.held) for r in rows])
     for k in range(len(KINDS)):  # no kind crowds out another: what is likely within a kind stays the same
         of = x[:, k] > 0
         rest[of] *= min(1.0, most_candidates / len(KINDS) / max(rest[of].sum(), 1.0))
