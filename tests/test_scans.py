@@ -59,3 +59,21 @@ def test_autocomplete_equals_its_ladder_over_several_blocks(spark, monkeypatch):
         out = cd.autocomplete(*tables)
         assert {tuple(r) for r in out.collect()} == want
         assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keywords_are_counted_in_the_scan(spark, monkeypatch):
+    from sievework.operators import concepts as co
+
+    corpus = spark.createDataFrame([(1, "An Anvil and bolts", "en"), (2, "bolt", "de"), (3, None, "en"), (4, "ring bolt badword", None)], "id long, name string, region string")
+    concepts = spark.createDataFrame([(10,), (20,), (30,), (40,)], "concept_id int")
+    keywords = spark.createDataFrame(
+        [(10, "anvil", "pos"), (10, "Bolt", "pos"), (10, "bolt", "pos"), (10, "zzz", "pos"), (20, "bolt", "pos"), (20, "badword", "neg"), (30, "an", "neg"), (50, "bolt", "pos")],
+        "concept_id int, keyword string, kind string",
+    )
+    regions = spark.createDataFrame([(10, "en"), (40, "en")], "concept_id int, region string")
+    for chars in (1_000_000, 10):
+        monkeypatch.setattr(co, "MOST_CHARS", chars)
+        found = co.keyword_relevance(corpus, concepts, keywords, regions)
+        assert {tuple(r) for r in found.collect()} == {(10, 1, "en", 0.95), (20, 1, "en", 0.53), (20, 2, "de", 0.53)}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
