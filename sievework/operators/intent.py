@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import packs
 from ..functions.rules import matches, pattern_count, word_pattern
 from ..functions.text import contains_any
+from ..session import materialise
 from .ranking import top_k
 
 
@@ -80,6 +81,13 @@ def softmax_pick(logits: Column, labels: list[str]) -> Column:
     return F.struct(F.element_at(names, at).alias("label"), (F.element_at(weights, at) / total).alias("confidence"))
 
 
+def per_text(rows: DataFrame, value: Column, out: str) -> DataFrame:
+    """``rows(..., text)`` with ``out``, a ``value`` read from ``text`` alone: evaluated once per distinct text, since patterns
+    cost far more than the look-up and the same text is asked again and again."""
+    known = materialise(rows.select("text").distinct().select(F.col("text").alias("_text"), value.alias(out)), "texts")
+    return rows.join(known, F.col("text").eqNullSafe(F.col("_text"))).drop("_text")
+
+
 def classify_intent(
     queries: DataFrame,
     model: DataFrame | None = None,
@@ -93,11 +101,8 @@ def classify_intent(
     classifier; queries without a row there are classified by rules. Unsure model answers are
     refined by rules, then by defaults; conditions settle an unsure urgency.
     """
-    df = queries.select(
-        "qid",
-        rule_intent(F.col("text"), **(rules or {})).alias("r"),
-        condition_urgency(F.col("text"), conditions, followed).alias("c"),
-    )
+    read = F.struct(rule_intent(F.col("text"), **(rules or {})).alias("r"), condition_urgency(F.col("text"), conditions, followed).alias("c"))
+    df = per_text(queries.select("qid", "text"), read, "_read").select("qid", "_read.r", "_read.c")
     r = F.col("r")
     if model is None:
         df = df.select("qid", "r", "c", F.col("r").alias("m"))

@@ -83,7 +83,7 @@ COND_SQL = (
     "source FROM ru",
 )
 def rule_intent(spark, sf):
-    rows = lines(spark, sf).select("qid", intent.rule_intent(F.col("text"), **RULES).alias("r"))
+    rows = intent.per_text(lines(spark, sf), intent.rule_intent(F.col("text"), **RULES), "r")
     return rows.select(
         "qid", "r.phase", "r.urgency", F.round("r.phase_confidence", 4).alias("phase_confidence"),
         F.round("r.urgency_confidence", 4).alias("urgency_confidence"), "r.source",

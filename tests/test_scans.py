@@ -77,3 +77,13 @@ def test_keywords_are_counted_in_the_scan(spark, monkeypatch):
         assert {tuple(r) for r in found.collect()} == {(10, 1, "en", 0.95), (20, 1, "en", 0.53), (20, 2, "de", 0.53)}
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_patterns_are_read_once_per_distinct_text(spark):
+    from pyspark.sql import functions as F
+    from sievework.operators import intent
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "qid int, text string")
+    out = intent.per_text(rows, F.upper("text"), "v")
+    assert sorted(map(tuple, out.select("qid", "v").collect())) == [(1, "A"), (2, "A"), (3, None), (4, "B")]
+    assert "upper" not in out._jdf.queryExecution().executedPlan().toString()
