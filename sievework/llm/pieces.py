@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 CACHED_CHARS = 64
 CACHED_WORDS = 300_000
+CHECKED_WORDS = 60_000
 SLICE_BYTES = 4 << 20
+CHECKED_SLICE_BYTES = 1 << 20
 CACHED_PAIRS = 1_000_000
 
 
@@ -68,6 +70,7 @@ class PieceModel:
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.id_of) and not any("\n" in p for p in self.id_of)
         self.pairs: list[dict[int, bool]] = [{} for _ in self.pieces]
         self.n_pairs = 0
+        self.most_words = CACHED_WORDS
         self.words = _Words(self, {})
         self.signs = {c: array("i", [self.id_of[c]]).tobytes() for c in self.known}
         self.surface = [p.replace(SPACE, " ") for p in self.pieces]
@@ -265,7 +268,7 @@ class _Words(dict):
 
     def keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.model.most_words:
                 self.older = dict(self)
                 self.clear()
             self[word] = ids
@@ -355,13 +358,17 @@ def _decoded(model: PieceModel, lists: pa.Array) -> pa.Array:
     return pa.array([model.decode(x) for x in lists.to_pylist()], pa.string())
 
 
+def _slices(rows: pa.Array, sizes: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Batches come by number of rows; they are worked through in slices of about ``slice_bytes``."""
+    slice_of = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // slice_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(rows)]
+    return (rows[a:b] for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
 def _by_slices(run, model: PieceModel, rows: pa.Array, sizes: pa.Array, kind: pa.DataType) -> pa.Array:
-    """Batches come by number of rows; they are worked through in slices of about ``SLICE_BYTES``."""
     if not len(rows):
         return pa.array([], kind)
-    slice_of = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(rows)]
-    done = pa.concat_arrays([run(model, rows[a:b]) for a, b in zip(cuts, cuts[1:])])
+    done = pa.concat_arrays([run(model, part) for part in _slices(rows, sizes)])
     pa.default_memory_pool().release_unused()  # workers live on and share an executor's memory with later stages
     return done
 
@@ -390,22 +397,27 @@ def decode(ids: Column, model_file: str) -> Column:
 
 def encode_checked(text: Column, model_file: str) -> Column:
     """struct(ids, round_trip): ids as ``encode`` gives them, and whether they decode to the text, in which null counts as empty
-    and U+2581 as a blank. One Python worker a task does both, and no decoded text leaves it; at a task's end it forgets the
-    words it met, as it lives on and shares an executor's memory with other stages."""
-    kind = pa.struct([("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
-
-    def checked(model: PieceModel, texts: pa.Array) -> pa.Array:
-        ids = _encoded(model, texts)
-        plain = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
-        return pa.StructArray.from_arrays([ids, pc.equal(_decoded(model, ids), plain)], fields=list(kind))
+    and U+2581 as a blank. One Python worker a task does both, and no decoded text leaves it. Workers share an executor's memory
+    with other stages, so each slice leaves at once, a worker keeps ``CHECKED_WORDS`` words at most twice over, and at a task's end
+    it forgets them."""
 
     @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
     def ids_and_check(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = model_at(model_file)
-        try:
-            for texts in batches:
-                yield _by_slices(checked, model, texts, pc.binary_length(texts), kind)
-        finally:
-            model.forget()
+        return _checked(model_at(model_file), batches)
 
     return ids_and_check(text)
+
+
+def _checked(model: PieceModel, batches: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
+    model.most_words = CHECKED_WORDS
+    try:
+        for texts in batches:
+            for part in _slices(texts, pc.binary_length(texts), CHECKED_SLICE_BYTES):
+                ids = _encoded(model, part)
+                plain = pc.replace_substring(pc.fill_null(part, ""), SPACE, " ")
+                yield pa.StructArray.from_arrays([ids, pc.equal(_decoded(model, ids), plain)], fields=list(kind))
+            pa.default_memory_pool().release_unused()
+    finally:
+        model.most_words = CACHED_WORDS
+        model.forget()

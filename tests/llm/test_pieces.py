@@ -77,3 +77,21 @@ def test_checked_encoding_equals_both_steps(spark):
     assert len(got) == len(texts) and all(r.ids == r.own and r.round_trip == r.same for r in got)
     none = rows.limit(0).select(pieces.encode_checked(F.col("text"), piece_model()).alias("c"))
     assert none.collect() == []
+
+
+def test_checked_encoding_hands_on_slices_and_bounds_its_words(library):
+    """A batch of many long texts leaves in slices, and words met once don't pile up."""
+    import pyarrow as pa
+
+    model = pieces.model_at(piece_model())
+    texts = [" ".join(f"w{i}x{k}" for k in range(4_000)) for i in range(100)]
+    model.forget()
+    sizes, rows = [], []
+    for part in pieces._checked(model, [pa.array(texts), pa.array([], pa.string())]):
+        sizes.append(len(model.words) + len(model.words.older))
+        rows += [(part.nbytes, r) for r in part.to_pylist()]
+    assert len({n for n, _ in rows}) > 1 and max(n for n, _ in rows) < 16 << 20
+    assert max(sizes) <= 2 * pieces.CHECKED_WORDS
+    assert [r["ids"] for _, r in rows[:3]] == [library.encode(t) for t in texts[:3]]
+    assert len(rows) == len(texts) and all(r["round_trip"] for _, r in rows)
+    assert not model.words and model.most_words == pieces.CACHED_WORDS
