@@ -169,10 +169,12 @@ def best_scored(requests: DataFrame, catalogue: DataFrame, floor: int = 5) -> Da
     """(rid, entry, score): best entry scoring at least ``floor``, earliest on ties. A request without any
     shared term or region falls back to the first entry that agrees on contrast.
 
-    Requests of the same region, contrast and terms are scored once."""
+    Requests of the same region, contrast and terms are scored once, and ``requests`` are read once."""
     profile = F.to_json(F.struct("region", "needs_contrast", F.array_sort("terms").alias("terms")))
-    asked = requests.select("rid", profile.alias("profile"), "region", "terms", "needs_contrast")
-    distinct = asked.select("profile", "region", F.array_sort("terms").alias("terms"), "needs_contrast").distinct()
+    asked = materialise(requests.select("rid", profile.alias("profile")), "profiles")
+    kinds = {c: requests.schema[c].dataType.simpleString() for c in ("region", "needs_contrast", "terms")}
+    parsed = F.from_json("profile", ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+    distinct = materialise(asked.select("profile").distinct().withColumn("_p", parsed).select("profile", "_p.*"), "distinct-profiles")
     best = _best_entries(distinct.withColumnRenamed("profile", "rid"), catalogue, floor)
     return asked.select("rid", "profile").join(best.withColumnRenamed("rid", "profile"), "profile").select("rid", "entry", "score")
 

@@ -2,7 +2,9 @@
 
 import random
 
-from sievework.operators import lexical
+from pyspark.sql import functions as F
+
+from sievework.operators import lexical, routing
 from sievework.operators.termscan import Holders, Links
 
 
@@ -87,3 +89,24 @@ def test_patterns_are_read_once_per_distinct_text(spark):
     out = intent.per_text(rows, F.upper("text"), "v")
     assert sorted(map(tuple, out.select("qid", "v").collect())) == [(1, "A"), (2, "A"), (3, None), (4, "B")]
     assert "upper" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scored_routes_read_the_requests_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(region):
+        read.add(1)
+        return region
+
+    reading = F.udf(seen, "string").asNondeterministic()
+    rows = [(1, "MRI bolt", "acute", 7, "asia", True, ["hot", "bolt"]), (2, "MRI rod", "acute", 7, None, False, []), (3, "MRI rod", None, 8, "asia", True, ["bolt", "hot"])]
+    requests = spark.createDataFrame(
+        rows, "rid long, item string, scenario string, scenario_id long, region string, needs_contrast boolean, terms array<string>"
+    ).withColumn("region", reading("region"))
+    entries = [(1, "hot bolt", "hot bolt", "asia", "x", "bolt", ["hot", "bolt"], "y", True), (2, "rod", "rod", "europe", "x", "rod", ["rod"], "y", False)]
+    catalogue = spark.createDataFrame(
+        entries, "seq long, name string, display string, region string, section string, body_part string, keywords array<string>, indications string, uses_contrast boolean"
+    )
+    best = routing.best_scored(requests, catalogue).collect()
+    assert read.value == len(rows)
+    assert sorted((r.rid, r.entry) for r in best) == [(1, "hot bolt"), (2, "rod"), (3, "hot bolt")]
