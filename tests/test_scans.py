@@ -91,7 +91,7 @@ def test_patterns_are_read_once_per_distinct_text(spark):
     assert "upper" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_scored_routes_read_the_requests_once(spark):
+def test_scored_and_resolved_routes_read_the_requests_once(spark):
     read = spark.sparkContext.accumulator(0)
 
     def seen(region):
@@ -110,3 +110,7 @@ def test_scored_routes_read_the_requests_once(spark):
     best = routing.best_scored(requests, catalogue).collect()
     assert read.value == len(rows)
     assert sorted((r.rid, r.entry) for r in best) == [(1, "hot bolt"), (2, "rod"), (3, "hot bolt")]
+    matched = spark.createDataFrame([("rod", 8, 0.5)], "entry string, scenario_id long, relevance double")
+    found = routing.resolve(requests, catalogue, [routing.RouteRule(("hot bolt",), item_any=("bolt",))], matched).collect()
+    assert read.value == 2 * len(rows)
+    assert sorted((r.rid, r.entry, r.stage) for r in found) == [(1, "hot bolt", "rules"), (2, "rod", "scored"), (3, "rod", "explicit")]
