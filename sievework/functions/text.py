@@ -183,13 +183,16 @@ STOP_WORDS = [
 
 
 def key_terms(col: Column, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Stop-word-free words longer than two characters; a hyphen compound wins when present."""
-    cleaned = F.regexp_replace(F.lower(col), r"[^A-Za-z0-9_\s\-]", "")
+    """Stop-word-free words longer than two characters; a hyphen compound wins when present.
+
+    Characters that stay are skipped in runs, the words are listed once, and only texts with a hyphen are searched for a compound."""
+    cleaned = F.regexp_replace(F.lower(col), r"\G([\w\s\-]*+)[^\w\s\-]+", "$1")
     kept = F.filter(
         F.split(cleaned, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(stop_words)
     )
-    compound = F.regexp_extract(col, r"([A-Za-z0-9_]+-[A-Za-z0-9_]+)", 1)
-    return F.when(F.size(kept) > 0, F.when(compound != "", compound).otherwise(F.array_join(kept, " ")))
+    # a match begins where a run of word characters does
+    compound = F.when(F.contains(col, F.lit("-")), F.regexp_extract(col, r"(?<!\w)(\w+-\w+)", 1)).otherwise("")
+    return F.nullif(F.when(compound != "", F.when(F.size(kept) > 0, compound)).otherwise(F.array_join(kept, " ")), F.lit(""))
 
 
 def list_items(col: Column, limit: int = 3) -> Column:

@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.functions import packs
 from sievework.functions import text as tx
@@ -50,6 +53,28 @@ def test_small_expressions(one):
     assert one(tx.escape_html, "a<b & c>") == "a&lt;b &amp; c&gt;"
 
 
+@pytest.mark.parametrize(
+    "raw,want",
+    [
+        ("Don't stop, the \u00fcber cat!", "dont stop ber cat"), ("x - y zebra", "zebra"), ("a--b cat", "a--b cat"), ("\u00e9-a-b dog", "a-b"), ("the of", None), ("", None),
+    ],
+)
+def test_key_terms(one, raw, want):
+    assert one(tx.key_terms, raw) == want
+
+
+def test_key_terms_of_a_long_run_takes_linear_time(one):
+    run = "x" * 100_000
+    start = time.time()
+    assert one(lambda c: tx.key_terms(F.concat(c, F.repeat(F.lit("x"), F.lit(99_999)))), "x") == run
+    assert one(lambda c: tx.key_terms(F.concat(F.repeat(F.lit("x"), F.lit(100_000)), c)), " a-b") == "a-b"
+    assert time.time() - start < 20
+
+
+def test_norm_blanks(one):
+    assert one(tx.norm, "\u00c9-x__y/ /z\u00a0\u3000\ufeff\t\n a\u200bb ") == "e x y z a\u200bb"
+
+
 @pytest.mark.parametrize(
     "raw,want",
     [
