@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Whitespace as a browser's \s understands it; the class works in Java and in RE2.
 SPACE = r"[\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
+#: Characters that normalised texts hold as blanks: those of ``SPACE``, and hyphen, underscore, slash.
+_BLANKS = "-_/\t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def _accent_table() -> tuple[str, str]:
     """Accented letter -> base letter for every code point whose NFD form is base + marks."""
@@ -36,8 +39,8 @@ def strip_accents(col: Column) -> Column:
 
 def norm(col: Column) -> Column:
     """Lower case, no diacritics, hyphen/underscore/slash as space, single spaces, trimmed."""
-    plain = strip_accents(F.lower(F.coalesce(col, F.lit(""))))
-    return F.trim(F.regexp_replace(F.translate(plain, "-_/", "   "), SPACE + "+", " "))
+    plain = F.translate(strip_accents(F.lower(F.coalesce(col, F.lit("")))), _BLANKS, " " * len(_BLANKS))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def words(col: Column, min_len: int = 1) -> Column:
