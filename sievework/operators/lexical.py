@@ -10,7 +10,7 @@ from ..session import materialise
 from .containment import WordIndex, phrase_pairs, postings, words_containing
 from .lookup import near_words
 from .ranking import top_k
-from .termscan import bm25_top_k, query_blocks, scan_top_k, string_blocks, term_points
+from .termscan import bm25_top_k, query_blocks, scan_top_k, string_blocks, term_points, word_counts
 
 
 def build_postings(corpus: DataFrame, min_len: int = 2) -> DataFrame:
@@ -109,15 +109,19 @@ def bm25_statistics(corpus: DataFrame, tokens: Column | None = None) -> tuple[Da
     """tf(id, word, tf, dl), df(word, df) and a one-row totals(n, avgdl) of ``corpus(id, text)``.
 
     ``tokens`` is the pluggable token function: a column of arrays; default is the words of the
-    normalised text."""
-    toks = words(norm(F.col("text"))) if tokens is None else tokens
-    listed = corpus.select("id", F.filter(toks, lambda w: w != "").alias("w")).withColumn("dl", F.size("w"))
-    tf = materialise(
-        listed.select("id", "dl", F.explode("w").alias("word")).groupBy("id", "dl", "word").agg(F.count("*").alias("tf")),
-        "tf",
-    )
+    normalised text. A row's words are counted where the row is read; only rows that repeat an id meet in a shuffle."""
+    listed = corpus.select("id", (norm(F.col("text")) if tokens is None else F.filter(tokens, lambda w: w != "")).alias("w"))
+    counted = word_counts(listed)
+    repeated = materialise(corpus.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_id")), "repeated")
+    if not repeated.isEmpty():  # rows of one id and length count together
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        summed = counted.join(repeated, same, "left_semi").groupBy("id", "dl", "word").agg(F.sum("tf").alias("tf"))
+        counted = counted.join(repeated, same, "left_anti").unionByName(summed)
+    tf = materialise(counted, "tf")
     df = materialise(tf.groupBy("word").agg(F.count("*").alias("df")), "df")
-    totals = listed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = corpus.agg(F.count("*").alias("n"), F.count(F.lit(1) if tokens is None else tokens).alias("_rows"))
+    total = F.coalesce(F.sum("tf"), F.lit(0)).alias("_total")
+    totals = rows.crossJoin(tf.agg(total)).select("n", F.when(F.col("_rows") > 0, F.col("_total") / F.col("_rows")).alias("avgdl"))
     return tf, df, totals
 
 

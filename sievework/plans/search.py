@@ -128,7 +128,7 @@ BM25 = (
 def bm25_statistics(spark, sf):
     tf, df, totals = lexical.bm25_statistics(documents(spark, sf))
     return (
-        tf.join(df, "word")
+        tf.join(df.hint("shuffle_hash"), "word")  # every word has one row there: the long side needs no sort
         .withColumn("n", totals.select("n").scalar())
         .withColumn("avgdl", F.round(totals.select("avgdl").scalar(), 6))
         .select("id", "word", "dl", "tf", "df", "avgdl", "n")

@@ -43,6 +43,27 @@ def test_points_of_many_documents_are_found_at_once(monkeypatch):
     assert termscan._Points({}, 2, 3, 1, 1).of(documents[:2]).tolist() == [[0, 0], [0, 0]]
 
 
+def test_statistics_count_words_where_rows_are_read(spark, monkeypatch):
+    texts = [(1, "An-anvil an bolt"), (2, "bolt"), (2, "bolt bolt"), (3, "ring bolt ring"), (3, "ring ring bolt"), (4, ""), (5, None), (None, "x"), (None, "x")]
+    corpus = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    want = {
+        (1, 4, "an", 2), (1, 4, "anvil", 1), (1, 4, "bolt", 1), (2, 1, "bolt", 1), (2, 2, "bolt", 2), (3, 3, "ring", 4), (3, 3, "bolt", 2),
+        (None, 1, "x", 2),
+    }
+    for most in (500_000, 3):
+        monkeypatch.setattr(termscan, "COUNTED_WORDS", most)
+        tf, df, totals = lexical.bm25_statistics(corpus)
+        assert sorted(map(repr, tf.select("id", "dl", "word", "tf").collect())) == sorted(repr(r) for r in spark.createDataFrame(list(want), tf.select("id", "dl", "word", "tf").schema).collect())
+        assert {(r.word, r.df) for r in df.collect()} == {("an", 1), ("anvil", 1), ("bolt", 4), ("ring", 1), ("x", 1)}
+        assert (totals.first().n, totals.first().avgdl) == (9, 15 / 9)
+    tf, _, totals = lexical.bm25_statistics(corpus, F.split("text", "o"))
+    assert ("An-anvil an b", 1) in {(r.word, r.tf) for r in tf.collect()} and totals.first().avgdl == 13 / 8
+    none = lexical.bm25_statistics(corpus.filter("id > 9"))
+    assert none[0].count() == 0 and tuple(none[2].first()) == (0, None)
+    plan = termscan.word_counts(corpus.select("id", F.col("text").alias("w")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_term_scores_leave_the_scan_without_a_shuffle(spark):
     texts = spark.createDataFrame([(1, "anvil an bolts a"), (2, "an anvil"), (3, ""), (4, "bolt"), (4, "bolt bolts")], "id long, text string")
     terms = spark.createDataFrame([("anvil",), ("bolt",), ("x",), ("an",)], "word string")
