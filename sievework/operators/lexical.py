@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm, word_bounded_at_first, words
-from ..session import materialise
+from ..session import materialise, release
+from .automaton import contained
 from .containment import WordIndex, phrase_pairs, postings, words_containing
 from .lookup import near_words
 from .ranking import top_k
@@ -133,7 +134,8 @@ def bm25_search(
     at edit distance one or less. Scores are equal if they are to nine decimals.
 
     Each stage counts the documents of its queries' words and then scans the corpus once per block of queries: the
-    postings of common words are not listed, and only the best of each task are shuffled."""
+    postings of common words are not listed, and only the best of each task are shuffled. Queries of the same words are
+    searched once: a block holds different ones only."""
     listed = materialise(corpus.select("id", F.filter(words(norm(F.col("text"))), lambda w: w != "").alias("w")), "tokens")
     n, avgdl = listed.agg(F.count("*"), F.avg(F.size("w"))).first()
     held = listed.select(F.explode(F.array_distinct("w")).alias("word"))
@@ -145,10 +147,11 @@ def bm25_search(
         )
 
     def scored(terms: DataFrame, stage: str) -> DataFrame:
-        terms = materialise(terms, "terms")
+        wanted = materialise(terms.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("held")), "terms")
+        terms = materialise(wanted.select("held").distinct().select("held", F.explode(F.split("held", " ")).alias("word")), "words")
         df = held.join(terms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighed = terms.join(df, "word").select("qid", F.struct("word", idf.alias("idf")).alias("pair"))
+        weighed = terms.join(df, "word").select(F.col("held").alias("qid"), F.struct("word", idf.alias("idf")).alias("pair"))
         hits = None
         for rows, named in query_blocks(weighed.groupBy("qid").agg(F.collect_list("pair").alias("pairs")).withColumn("words", F.col("pairs.word"))):
             weights: dict[str, list[tuple[int, float]]] = {}
@@ -157,7 +160,8 @@ def bm25_search(
                     weights.setdefault(word, []).append((number, weight))
             part = named(bm25_top_k(listed, weights, len(rows), k, k1, b, avgdl or 1.0))
             hits = part if hits is None else hits.unionByName(part)
-        return materialise(top_k(hits.withColumn("stage", F.lit(stage)), ["qid"], [F.desc("score"), F.asc("id")], k).select("qid", "id", "stage", "score", "rank"), "bm25")
+        best = top_k(hits.withColumnRenamed("qid", "held"), ["held"], [F.desc("score"), F.asc("id")], k)
+        return materialise(wanted.join(best, "held").select("qid", "id", F.lit(stage).alias("stage"), "score", "rank"), "bm25")
 
     def unanswered(rows: DataFrame, hits: DataFrame) -> DataFrame:
         return rows.join(hits.select("qid").distinct(), "qid", "left_anti")
@@ -165,12 +169,14 @@ def bm25_search(
     found = scored(terms_of(asked, F.col("text")), "plain")
     left = materialise(unanswered(asked, found), "left")
     if left.isEmpty():
+        release(listed)
         return found
     stripped_text = F.regexp_replace("text", r"[^a-zA-Z0-9\s]", " ")
     stripped = scored(terms_of(left, stripped_text), "stripped")
-    missed = terms_of(unanswered(left, stripped), F.col("text")).filter(F.length("word") >= 3)
-    near = near_words(missed.select("word").distinct(), held.distinct())
+    missed = materialise(terms_of(unanswered(left, stripped), F.col("text")).filter(F.length("word") >= 3), "missed")
+    near = near_words(materialise(missed.select("word").distinct(), "missed-words"), held.distinct())
     fuzzy = scored(missed.join(near, "word").select("qid", F.col("near").alias("word")).distinct(), "fuzzy")
+    release(listed)
     return found.unionByName(stripped).unionByName(fuzzy)
 
 
@@ -205,13 +211,21 @@ def name_search(queries: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     needles = materialise(tokens.select(F.col("token").alias("needle")).distinct(), "needles")
 
     def candidates(column: str, keys: int) -> DataFrame:
-        index = WordIndex.build(c.select("id", column), "id", column)
-        hits = materialise(words_containing(needles, index.vocabulary.select("word")), "hits")
-        per_token = hits.join(index.vocabulary, "word").groupBy("needle").agg(F.sum("n").alias("n"))
+        # a bounded number of tokens is looked for in the texts themselves, more of them in an index of all words
+        scanned = contained(needles.select(F.col("needle").alias("nid"), "needle"), c.select(F.col("id").alias("tid"), F.col(column).alias("text")))
+        if scanned is None:
+            index = WordIndex.build(c.select("id", column), "id", column)
+            hits = materialise(words_containing(needles, index.vocabulary.select("word")), "hits")
+            per_token = hits.join(index.vocabulary, "word").groupBy("needle").agg(F.sum("n").alias("n"))
+        else:
+            holding = materialise(scanned.select(F.col("nid").alias("needle"), F.col("tid").alias("id")), "holding")
+            per_token = holding.groupBy("needle").agg(F.count("*").alias("n"))
         rated = tokens.join(per_token.withColumnRenamed("needle", "token"), "token", "left").withColumn(
             "n", F.coalesce("n", F.lit(0))
         )
         chosen = top_k(rated, ["qid"], [F.asc("n"), F.asc("token")], keys).select("qid", F.col("token").alias("needle"))
+        if scanned is not None:
+            return chosen.join(holding, "needle").select("qid", "id").distinct()
         return index.lookup(chosen.join(hits, "needle").select("qid", "word").distinct(), "id").select("qid", "id").distinct()
 
     # tokens repeat in the count below exactly as often as in the query; two distinct keys suffice

@@ -241,12 +241,15 @@ def lexical_overlap(q: Column, name: Column, keywords: Column, pairs: list[tuple
 
 def hybrid_topk(
     queries: DataFrame, corpus: DataFrame, k: int = 8, pool: int | None = None, lam: float = 0.05,
-    pairs: list[tuple[str, str]] = ABBREVIATIONS,
+    pairs: list[tuple[str, str]] = ABBREVIATIONS, encoded: DataFrame | None = None,
 ) -> DataFrame:
     """(qid, id, similarity, lexical, score, rank, vector_rank): vector pool re-ranked with a lexical
-    bonus. ``queries(qid, text, vector)``, ``corpus(id, name, keywords, vector)``."""
+    bonus. ``queries(qid, text, vector)``, ``corpus(id, name, keywords, vector)``; where the vectors are a table of their own,
+    ``encoded(id, vector)`` of rows of the corpus, its texts are not joined to them."""
     pool = pool or max(4 * k, 30)
-    hits = vector_topk(queries.select("qid", "vector"), corpus.select("id", "vector"), pool)
+    hits = vector_topk(queries.select("qid", "vector"), (corpus if encoded is None else encoded).select("id", "vector"), pool)
+    if encoded is not None:
+        corpus = corpus.join(encoded.select("id"), "id", "left_semi")
     q = queries.select("qid", norm(F.col("text")).alias("_q"))
     c = corpus.select("id", norm(F.col("name")).alias("_name"), norm(F.array_join("keywords", " ")).alias("_kw"))
     joined = hits.join(q, "qid").join(c, "id")

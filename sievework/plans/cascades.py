@@ -266,10 +266,11 @@ def global_search(spark, sf):
     v = vectors(spark, sf)
     named = synonyms(spark, sf).unionByName(b.select((F.col("qid") * 100000).alias("seq"), F.col("text").alias("synonym"), F.col("qid").alias("concept_id")))
     asked = b.withColumn("qid", F.concat_ws(" ", F.lit("item"), "qid")).unionByName(queries(spark, sf))
-    corpus = table(spark, sf, "documents").select(
+    corpus = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"), F.col("text").alias("name"), F.array("source", "lang").alias("keywords")
-    ).join(v, "id", "left")
+    )
+    given = v.join(corpus.select("id"), "id", "left_semi")
     pages = table(spark, sf, "pages").select(F.concat_ws(" ", F.lit("page"), "page_id").alias("qid"), (F.col("page_id") * 3).alias("id"))
     encoded = pages.join(v, "id").select("qid", "vector")
-    out = cd.global_search(asked, phrase_cards(spark, sf), named, encoded, corpus, pairs=PAIRS)
+    out = cd.global_search(asked, phrase_cards(spark, sf), named, encoded, corpus, pairs=PAIRS, encoded=given)
     return out.withColumn("score", F.round("score", 6))

@@ -1,5 +1,6 @@
 """Scans that hand on what they find without listing pairs in a shuffle."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -158,3 +159,37 @@ def test_scored_and_resolved_routes_read_the_requests_once(spark):
     found = routing.resolve(requests, catalogue, [routing.RouteRule(("hot bolt",), item_any=("bolt",))], matched).collect()
     assert read.value == 2 * len(rows)
     assert sorted((r.rid, r.entry, r.stage) for r in found) == [(1, "hot bolt", "rules"), (2, "rod", "scored"), (3, "rod", "explicit")]
+
+
+def test_queries_of_the_same_words_are_searched_once(spark, monkeypatch):
+    asked, plain = [], lexical.bm25_top_k
+    monkeypatch.setattr(lexical, "bm25_top_k", lambda docs, weights, queries, *a: asked.append(queries) or plain(docs, weights, queries, *a))
+    corpus = spark.createDataFrame([(1, "anvil bolt"), (2, "bolt bolt ring"), (3, ""), (4, None)], "id long, text string")
+    texts = ["bolt anvil", "Anvil  bolt", "ring", "*bolt", "annvil", "zzzz"]
+    queries = spark.createDataFrame([(i, texts[i % 6]) for i in range(60)], "qid long, text string")
+    got = lexical.bm25_search(queries, corpus, 2).collect()
+    assert asked == [2, 1, 1]  # plain, stripped, fuzzy
+    of: dict = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        of.setdefault(r.qid, []).append((r.stage, r.id))
+    want = [[("plain", 1), ("plain", 2)], [("plain", 1), ("plain", 2)], [("plain", 2)], [("stripped", 2), ("stripped", 1)], [("fuzzy", 1)], None]
+    assert all(sorted(of.get(i, [])) == sorted(want[i % 6] or []) for i in range(60))
+    scores = {(r.qid % 6, r.id): r.score for r in got}
+    idf, avgdl = [math.log(1 + (4 - df + 0.5) / (df + 0.5)) for df in (1, 2)], 5 / 4
+    assert scores[2, 2] == round(idf[0] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / avgdl)), 9)
+    assert scores[0, 2] == round(idf[1] * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / avgdl)), 9)
+
+
+def test_names_are_searched_without_an_index_of_all_words(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["anvil", "bolt", "an", "vil", "ring", "boltring", "plate"]
+    corpus = spark.createDataFrame(
+        [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 5))), [rng.choice(words)]) for i in range(60)] + [(99, None, None)], "id long, name string, keywords array<string>"
+    )
+    queries = spark.createDataFrame([(i, " ".join(rng.choice([*words, "zz"]) for _ in range(rng.randint(1, 4)))) for i in range(40)], "qid long, text string")
+    built, build = [], lexical.WordIndex.build
+    monkeypatch.setattr(lexical.WordIndex, "build", staticmethod(lambda *a: built.append(a) or build(*a)))
+    scanned = sorted(lexical.name_search(queries, corpus, 5).collect())
+    assert scanned and not built
+    monkeypatch.setattr(lexical, "contained", lambda *a: None)
+    assert sorted(lexical.name_search(queries, corpus, 5).collect()) == scanned and len(built) == 2
