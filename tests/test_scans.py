@@ -193,3 +193,24 @@ def test_names_are_searched_without_an_index_of_all_words(spark, monkeypatch):
     assert scanned and not built
     monkeypatch.setattr(lexical, "contained", lambda *a: None)
     assert sorted(lexical.name_search(queries, corpus, 5).collect()) == scanned and len(built) == 2
+
+
+def test_supplements_list_the_requests_of_an_item_side_by_side(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(item):
+        read.add(1)
+        return item
+
+    reading = F.udf(seen, "string").asNondeterministic()
+    items = ["bolt", "rod", "ring", None]
+    requests = spark.createDataFrame([(i, items[i % 4], ["Acute pain", None][i // 4 % 2]) for i in range(40)], "rid long, item string, scenario string").coalesce(1)
+    always = spark.createDataFrame([("bolt", 1, "a"), ("bolt", 2, "b"), ("rod", 3, "c"), (None, 4, "d")], "item string, pos int, reason string")
+    contextual = spark.createDataFrame([("rod", 5, ["acute", "x"], "e"), ("bolt", 6, ["zz"], "f"), ("gear", 7, ["acute"], "g")], "item string, pos int, when array<string>, reason string")
+    found = routing.supplements(requests.withColumn("item", reading("item")), always, contextual).collect()
+    assert read.value == 40
+    want = {(i, "always", p, r) for i in range(0, 40, 4) for p, r in ((1, "a"), (2, "b"))} | {(i, "always", 3, "c") for i in range(1, 40, 4)}
+    want |= {(i, "contextual", 5, "e") for i in range(1, 40, 8)}
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    item = [items[r.rid % 4] for r in found if r.kind == "always"]
+    assert sum(a != b for a, b in zip(item, item[1:], strict=False)) == 1
